@@ -9,12 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import chat, licenses, quality, sharding
+import public_tokenizers
+
+from careerloom.llm import chat, langid, licenses, neardup, packing, quality, secrets, sharding, topk
 from careerloom.llm.shared import table
 
 SHARDS = 40
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document: best licence, its Dice coefficient, all licences found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +41,40 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document; base findings counted and digested apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(docs))
+    every = F.filter(F.split("base_spans", ","), lambda x: x != "")
+    count = lambda kind: F.size(F.filter(every, lambda x: x.startswith(f"{kind}:"))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest integer inner products of every hundredth vector against all others."""
+    raw = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    vectors = raw.select("vec_id", topk.whole_components(F.col("embedding")).alias("v"))
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+TOKENIZER = {
+    "json_path": public_tokenizers.path("byte_bpe_50k.json"),
+    "rank_path": public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    "pattern": public_tokenizers.PATTERN,
+}
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the curve into sequences of 1,024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), **TOKENIZER)
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    found = neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "n_links", (F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+
+
 _PROBE = "</s>[INST] ok [/INST]"
 
 
@@ -129,6 +173,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
+_TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+
 _WORDS_SQL = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _BARE_SQL = r"regexp_replace({}, '[\x20\x09-\x0D]', '', 'g')"
 _QUALITY_SQL = rf"""
@@ -159,9 +214,9 @@ FROM measured
 
 
 def queries() -> dict:
-    found = [op2_license_scan, op4_sharding, op9_chat_format, op10_quality_rules]
+    found = [op1_language_id, op2_license_scan, op4_sharding, op5_secret_scan, op6_exact_topk, op7_packing, op8_near_dedup, op9_chat_format, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {"op2_license_scan": _license_sql(), "op4_sharding": _SHARD_SQL, "op9_chat_format": _CHAT_SQL, "op10_quality_rules": _QUALITY_SQL}
+    return {"op2_license_scan": _license_sql(), "op4_sharding": _SHARD_SQL, "op6_exact_topk": _TOPK_SQL, "op9_chat_format": _CHAT_SQL, "op10_quality_rules": _QUALITY_SQL}
