@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from careerloom.llm import chat, langid, licenses, neardup, packing, quality, secrets, sharding, topk
+from careerloom.llm import bpe, chat, langid, licenses, neardup, packing, quality, secrets, sharding, topk
 from careerloom.llm.shared import table
 
 SHARDS = 40
@@ -32,6 +32,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license", F.round("dice", 9).alias("dice"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded to ids and decoded again; digests of both."""
+    ranks = bpe.read_ranks(TOKENIZER["rank_path"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_native(docs, ranks, TOKENIZER["pattern"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 equal shards by rendezvous hashing of doc_id (law ``key``)."""
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -214,7 +227,7 @@ FROM measured
 
 
 def queries() -> dict:
-    found = [op1_language_id, op2_license_scan, op4_sharding, op5_secret_scan, op6_exact_topk, op7_packing, op8_near_dedup, op9_chat_format, op10_quality_rules]
+    found = [op1_language_id, op2_license_scan, op3_bpe_round_trip, op4_sharding, op5_secret_scan, op6_exact_topk, op7_packing, op8_near_dedup, op9_chat_format, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
