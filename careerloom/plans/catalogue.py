@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: tuple = ()
+from careerloom.plans import model_queries, posting_queries, rating_queries, text_queries
+
+MODULES: tuple = (rating_queries, posting_queries, text_queries, model_queries)
 
 
 def queries() -> dict:
