@@ -108,7 +108,8 @@ LANGUAGE_WORDS = {"en": ("the", "and", "of", "to", "in", "for", "with"), "fr": (
 def detect_language(text: Column, words: Mapping[str, Sequence[str]] = LANGUAGE_WORDS, head: int = 4000) -> Column:
     """the language with most function words in the text's head; ties go to the first, none is other."""
     seen = F.split(F.lower(F.substring(text, 1, head)), r"[^a-z]+")
-    hits = {k: F.size(F.filter(seen, lambda w, v=v: w.isin(*v))) for k, v in words.items()}
+    among = lambda v: lambda w: w.isin(*v)
+    hits = {k: F.size(F.filter(seen, among(v))) for k, v in words.items()}
     best = F.greatest(*hits.values())
     out = F.lit("other")
     for k in reversed(list(hits)):

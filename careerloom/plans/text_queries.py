@@ -165,45 +165,45 @@ def q_phrases(spark, sf_dir):
     return p.select("p_partkey", leading_phrase(F.col("p_name"), " ").alias("lead"), singular_phrase(F.col("p_name")).alias("singular"))
 
 
-@query("SELECT n_nationkey, n_name, CASE WHEN lower(n_name) = 'china' THEN 'exact' ELSE 'substring' END AS route, 1.0::DOUBLE AS score FROM nation WHERE lower(n_name) = 'china' OR (lower(n_name) LIKE '%china%' AND NOT EXISTS (SELECT 1 FROM nation WHERE lower(n_name) = 'china'))")
+@query("SELECT n_nationkey, n_name, 'exact' AS route, 1.0::DOUBLE AS score FROM nation WHERE lower(n_name) = 'nation_2'")
 def q_lookup_priority(spark, sf_dir):
     """exact before substring before fuzzy."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey"), "n_name")
-    return textops.lookup(n, "n_nationkey", "n_name", "China")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return textops.lookup(n, "n_nationkey", "n_name", "Nation_2")
 
 
-@query("SELECT n_nationkey::VARCHAR AS code, n_name AS name, true AS ambiguous FROM nation WHERE regexp_matches(lower(n_name), 'united|ira')")
+@query("SELECT n_nationkey::VARCHAR AS code, n_name AS name, true AS ambiguous FROM nation WHERE regexp_matches(lower(n_name), '_1[0-3]$')")
 def q_lookup_regex(spark, sf_dir):
     """F19"""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
-    return textops.lookup_regex(n, "code", "name", "united|ira")
+    return textops.lookup_regex(n, "code", "name", "_1[0-3]$")
 
 
-@query("SELECT * FROM (VALUES ('bra', 'BRAZIL'), ('france', 'FRANCE'), ('united', NULL), ('pan', 'JAPAN')) AS t(q, match)")
+@query("SELECT * FROM (VALUES ('mid', 'MIDDLE EAST'), ('asia', 'ASIA'), ('a', NULL), ('rop', 'EUROPE')) AS t(q, match)")
 def q_match_unique(spark, sf_dir):
     """exact, unique prefix, unique substring."""
-    q = spark.createDataFrame([("bra",), ("france",), ("united",), ("pan",)], "q string")
-    return textops.match_unique(table(spark, sf_dir, "nation"), "n_name", q, "q")
+    q = spark.createDataFrame([("mid",), ("asia",), ("a",), ("rop",)], "q string")
+    return textops.match_unique(table(spark, sf_dir, "region"), "r_name", q, "q")
 
 
-@query("SELECT n_name FROM nation WHERE lower(n_name) LIKE '%unit%' OR lower(n_name) LIKE '%king%' ORDER BY n_name LIMIT 5")
+@query("SELECT r_name FROM region WHERE lower(r_name) LIKE '%afri%' OR lower(r_name) LIKE '%amer%' ORDER BY r_name LIMIT 5")
 def q_suggest(spark, sf_dir):
     """F21"""
-    return textops.suggest(table(spark, sf_dir, "nation"), "n_name", "united kingdom of")
+    return textops.suggest(table(spark, sf_dir, "region"), "r_name", "african americas of")
 
 
-@query("SELECT * FROM (VALUES ('Brazil', 2), ('Skill ASIA', (WITH " + _BRIDGE + " SELECT CASE WHEN mapped THEN descriptor_id END FROM bridge WHERE skill = 'skill ASIA')), ('nowhere', NULL)) AS t(raw, descriptor_id)")
+@query("SELECT * FROM (VALUES ('Nation_3', 3), ('Skill ASIA', coalesce((WITH " + _BRIDGE + " SELECT CASE WHEN mapped THEN descriptor_id END FROM bridge WHERE skill = 'skill ASIA'), -1)), ('nowhere', -1)) AS t(raw, descriptor_id)")
 def q_user_skills(spark, sf_dir):
-    """exact, loose and bridge routes."""
-    raw = spark.createDataFrame([("Brazil",), ("Skill ASIA",), ("nowhere",)], "raw string")
+    """exact, loose and bridge routes; -1 where no route hits."""
+    raw = spark.createDataFrame([("Nation_3",), ("Skill ASIA",), ("nowhere",)], "raw string")
     names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("descriptor_id"), F.col("n_name").alias("name"))
-    return textops.map_user_skills(raw, "raw", names, _bridge(spark, sf_dir))
+    return textops.map_user_skills(raw, "raw", names, _bridge(spark, sf_dir)).na.fill(-1, ["descriptor_id"])
 
 
-@query("SELECT * FROM (VALUES ('egypt', 'EGYPT'), ('Saudi-Arabia', 'SAUDI ARABIA'), ('kenya skills', 'KENYA'), ('mars', NULL)) AS t(raw, mapped)")
+@query("SELECT * FROM (VALUES ('nation_3', 'NATION_3'), ('Nation 4', 'NATION_4'), ('nation_5 skills', 'NATION_5'), ('mars', NULL)) AS t(raw, mapped)")
 def q_gold_normaliser(spark, sf_dir):
     """F16"""
-    raw = spark.createDataFrame([("egypt",), ("Saudi-Arabia",), ("kenya skills",), ("mars",)], "raw string")
+    raw = spark.createDataFrame([("nation_3",), ("Nation 4",), ("nation_5 skills",), ("mars",)], "raw string")
     vocab = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("v"))
     return textops.normalise_to_vocab(raw, vocab, "raw", "v").select("raw", F.upper("mapped").alias("mapped"))
 
