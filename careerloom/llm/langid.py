@@ -16,7 +16,7 @@ them are landmarks.  Scoring reads whole texts of every row.
 
 Defined results: null text and text without a letter give ``und`` with score 0;
 a table without a labelled row gives ``und`` for all; ties go to the first
-language by name; repeated rows get equal results; other columns pass through.
+language by name; repeated rows get equal results; other columns pass through; a column named like a result is replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from careerloom.llm.shared import extended
+
 UNKNOWN = "und"
 FIT_ROWS, FIT_CHARS, LANDMARKS, LETTERS = 2400, 20_000, 192, 96
 RIDGE = 1e-3
@@ -186,7 +188,7 @@ def train(df: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str =
 def identify(df: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score."""
     if model is None:
-        return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return extended(df, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")), ["lang_pred", "score"])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("lang_pred string, score double")
@@ -194,4 +196,4 @@ def identify(df: DataFrame, model: Model | None, *, text: str = "text") -> DataF
         lang, score = shared.value.predict(texts.tolist())
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return df.withColumn("_id", predict(F.col(text))).select(*df.columns, "_id.lang_pred", "_id.score")
+    return extended(df, predict(F.col(text)), ["lang_pred", "score"])

@@ -10,7 +10,8 @@ into bigrams.  Templates are literals of the plan; nothing is shuffled.
 
 Defined results: null text and texts without a match have a null licence, dice 0
 and an empty list; ties go to the first licence by name; repeated rows get equal
-results; an empty table gives an empty result; other columns pass through.
+results; an empty table gives an empty result; other columns pass through; a column named
+like a result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.llm.license_texts import TEMPLATES
-from careerloom.llm.shared import let
+from careerloom.llm.shared import extended, let
 
 THRESHOLD = 0.8
 _NOT_WORD = r"[^a-z0-9]+"
@@ -87,4 +88,4 @@ def scan(df: DataFrame, *, text: str = "text", templates: list[tuple[str, str]]
             F.array_sort(F.array_distinct(F.transform(found, lambda m: m["name"]))).alias("licenses"),
         )
 
-    return df.withColumn("_scan", let(matches(body, templates, threshold), summary)).select(*df.columns, "_scan.license", "_scan.dice", "_scan.licenses")
+    return extended(df, let(matches(body, templates, threshold), summary), ["license", "dice", "licenses"])

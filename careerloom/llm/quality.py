@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerloom.llm.shared import let, shared_table
+from careerloom.llm.shared import hidden, let, shared_table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -126,10 +126,11 @@ def judge(df: DataFrame, *, doc: str = "doc_id", text: str = "text", host: str =
 
 def clean(df: DataFrame, *, doc: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
     """The rows of ``df`` that are kept, their texts without boilerplate lines; same columns."""
-    verdict = judge(df, doc=doc, text=text, host=host, **limits).select("_k", "_k2", "kept", "frequent").dropDuplicates(["_k", "_k2"]).where("kept")
+    a, b, lines = hidden(df, "_k"), hidden(df, "_k2"), hidden(df, "_frequent")
+    verdict = judge(df, doc=doc, text=text, host=host, **limits).where("kept").dropDuplicates(["_k", "_k2"]).select(F.col("_k").alias(a), F.col("_k2").alias(b), F.col("frequent").alias(lines))
     k, k2 = _row_key(F.col(doc), F.col(text))
-    trimmed = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(_has_word(x) & F.array_contains(F.col("frequent"), line_hash(x)))), "\n")
-    out = df.withColumns({"_k": k, "_k2": k2}).join(verdict, ["_k", "_k2"]).withColumn(text, F.when(F.col("frequent").isNull(), F.col(text)).otherwise(trimmed))
+    trimmed = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(_has_word(x) & F.array_contains(F.col(lines), line_hash(x)))), "\n")
+    out = df.withColumns({a: k, b: k2}).join(verdict, [a, b]).withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(trimmed))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))
     return out.select(*df.columns)

@@ -5,7 +5,7 @@ surrounding context go through a small network: character embedding with a flag
 for candidate or context, one convolution, global maximum and mean pooling, one
 logistic output.  It is trained in numpy on labelled findings: generated ones of
 common secret formats and of harmless look-alikes, and candidates of a bounded
-sample of the corpus, labelled by the base patterns.  Platt scaling on findings
+sample of the corpus, those that a base pattern finds and those of letters only.  Platt scaling on findings
 kept aside calibrates it; the threshold is the largest that keeps RECALL of the
 positives kept aside.
 
@@ -13,7 +13,8 @@ The network only adds spans (kind ``cnn``); base spans stay as they are.  All
 offsets are code points.
 
 Defined results: null text counts as empty and has no span; repeated rows get
-equal results; an empty table gives an empty result; other columns pass through.
+equal results; an empty table gives an empty result; other columns pass through; a column named
+like a result is replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from careerloom.llm.shared import extended
+
 KINDS = ("assign", "access", "hex", "cnn")
 #: The base patterns and their least lengths.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -213,14 +216,19 @@ def generated_findings(count: int = 2400) -> tuple[list[np.ndarray], list[int]]:
 
 
 def _labelled(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
-    """Candidates of texts, 1 where a base finding overlaps them."""
+    """Labelled candidates of texts: 1 where a base finding overlaps them, 0 where they are letters only.
+
+    Other candidates may be secrets of an unknown format and stay unlabelled.
+    """
     rows, labels = [], []
     for t in texts:
         base, spans = base_spans(t), candidates(t)
         for i, w in windows(t, spans):
             start, stop = spans[i]
-            rows.append(w)
-            labels.append(int(any(s < stop and e > start for s, _, e in base)))
+            found = any(s < stop and e > start for s, _, e in base)
+            if found or t[start:stop].isalpha():
+                rows.append(w)
+                labels.append(int(found))
     return rows, labels
 
 
@@ -272,15 +280,15 @@ def scan(df: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
     """``df`` with base_spans and spans: arrays of struct(start, kind, stop)."""
     shared = df.sparkSession.sparkContext.broadcast(net)
 
-    @pandas_udf("base string, every string")
+    @pandas_udf("base_spans string, spans string")
     def find(texts: pd.Series) -> pd.DataFrame:
         body = [t or "" for t in texts]
         base = [base_spans(t) for t in body]
         more = added_spans(body, base, shared.value)
         line = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-        return pd.DataFrame({"base": [line(b) for b in base], "every": [line(sorted(b + m)) for b, m in zip(base, more)]})
+        return pd.DataFrame({"base_spans": [line(b) for b in base], "spans": [line(sorted(b + m)) for b, m in zip(base, more)]})
 
-    return df.withColumn("_f", find(F.col(text))).select(*df.columns, F.col("_f.base").alias("base_spans"), F.col("_f.every").alias("spans"))
+    return extended(df, find(F.col(text)), ["base_spans", "spans"])
 
 
 def redact(df: DataFrame, net: Net, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:

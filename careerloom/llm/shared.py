@@ -54,3 +54,19 @@ def let(value: Column, body) -> Column:
     the expression language; without it every use would evaluate ``value`` again.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def hidden(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def extended(df: DataFrame, value: Column, names: list[str]) -> DataFrame:
+    """``df`` with the fields ``names`` of the struct ``value``; a column that has such a name is replaced."""
+    own = hidden(df, "_careerloom")
+    new = {n.lower() for n in names}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
+    return df.withColumn(own, value).select(*kept, *[F.col(f"{own}.{n}") for n in names])
