@@ -6,6 +6,7 @@ store that Spark reads works.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,7 +28,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="careerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/careerloom-{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/careerloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p, fs = _fs(spark, path)
+        fs.delete(p, True)
+    except Exception:  # the session is gone; the folder is scratch space by contract
+        return
 
 
 def _fs(spark: SparkSession, path: str):
