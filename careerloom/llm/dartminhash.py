@@ -17,15 +17,18 @@ import numpy as np
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Elements and darts held at once; bounds memory, not results.
-CHUNK = 200_000
+CHUNK = 20_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x + _G
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -42,6 +45,18 @@ def _poisson_cdf(mean: float) -> np.ndarray:
     return np.array(terms)
 
 
+def _poisson(cdf: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Counts by inversion; u rarely passes the first few steps of a small mean."""
+    n = (u >= cdf[0]).astype(np.int64)
+    todo = np.flatnonzero(n)
+    for c in cdf[1:]:
+        todo = todo[u[todo] >= c]
+        if not len(todo):
+            break
+        n[todo] += 1
+    return n
+
+
 def _within(counts: np.ndarray) -> np.ndarray:
     """0, 1, ... inside each run of the given lengths."""
     ends = np.cumsum(counts)
@@ -67,7 +82,7 @@ def _throw(h: np.ndarray, owner: np.ndarray, weight: np.ndarray, bound: np.ndarr
             c = cells[at:stop]
             m = _within(c)
             key = mix(np.repeat(mix(eh[at:stop] + np.uint64(level)), c) + m.astype(np.uint64) * _M2)
-            n = np.searchsorted(cdf, _unit(mix(key)), side="right")
+            n = _poisson(cdf, _unit(mix(key)))
             dart = mix(np.repeat(key, n) + (_within(n) + 1).astype(np.uint64) * _M1)
             rank = np.repeat(m, n) + _unit(mix(dart))
             place = low + width * _unit(mix(dart ^ _M2))
