@@ -7,11 +7,14 @@ class is a connected component of links.
 1. Texts with equal word sequences collapse into one node (map-side combined).
 2. DartMinHash signatures, cut into 24 bands of 5 coordinates: two documents at
    0.8 share a band with probability 0.9999.
-3. Within a band's bucket every member is paired with the bucket's hub, not with
-   every other member, and pairs are verified with exact Jaccard similarities.
-4. Members that the verified links leave in different classes are then paired
-   with further hubs, and what still is undecided is compared in full, so no link
-   between members of a bucket is lost although a bucket of n copies costs n pairs.
+3. Within a band's bucket every member is paired with the bucket's hub, the member
+   that shares most buckets with others, and not with every other member.  Pairs whose signatures agree in too few coordinates to be at
+   0.8 (more than five standard deviations away) are dropped; all others are verified
+   with exact Jaccard similarities of their shingle sets.
+4. Buckets whose members the verified links leave in different classes go through an
+   exact prefix-filter join: two sets at 0.8 share one of the rarest fifth of their
+   shingles, so only nodes of different classes that do are compared.  No link between members of a bucket is lost,
+   although a bucket of n copies costs n pairs.
 
 Defined results: a text without a word (null or empty included) is a class of
 its own; a text of fewer than five words is one shingle; the class id is the
@@ -30,14 +33,14 @@ from pyspark.sql.functions import pandas_udf
 
 from careerloom.llm import dartminhash
 from careerloom.llm.components import connected_components
-from careerloom.llm.shared import let, shared_table
+from careerloom.llm.shared import hidden, let, shared_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this size are compared in full at once.
 SMALL_BUCKET = 4
-#: Further hubs for each bucket that is still undecided.
-MORE_HUBS = 6
+#: Coordinates of 120 that two signatures must share: 0.6, where 0.8 has a deviation of 0.037.
+LEAST_AGREEING = int(0.6 * BANDS * ROWS)
 
 
 def words_of(text: Column) -> Column:
@@ -52,16 +55,29 @@ def _node(words: Column) -> Column:
     return F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(words, " ").cast("binary"))))
 
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def _bands(words: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(words), dtype=object)
+_SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+
+
+@pandas_udf(_SKETCH)
+def _sketch(words: pd.Series) -> pd.DataFrame:
+    """Band hashes, and 16 bits of each coordinate."""
+    bands, sigs = np.empty(len(words), object), np.empty(len(words), object)
     some = [i for i, w in enumerate(words) if w is not None and len(w)]
-    for at in range(0, len(some), 512):
-        part = some[at : at + 512]
+    for at in range(0, len(some), 256):
+        part = some[at : at + 256]
         sig = dartminhash.signatures([dartminhash.shingles(words.iloc[i], SHINGLE) for i in part], BANDS * ROWS)
-        for i, b in zip(part, dartminhash.bands(sig, BANDS)):
-            out.iat[i] = b
-    return out
+        short = (sig & np.uint64(0xFFFF)).astype("<u2")
+        for i, b, x in zip(part, dartminhash.bands(sig, BANDS), short):
+            bands[i], sigs[i] = b, x.tobytes()
+    return pd.DataFrame({"bands": bands, "sig": sigs})
+
+
+@pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(v), "<u2").reshape(len(v), -1) for v in (a, b))
+    return pd.Series((x == y).sum(1).astype("int32"))
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -75,11 +91,12 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) those at or above the similarity."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", _similarity(_hashes(words_of(F.col("ta"))), _hashes(words_of(F.col("tb")))).alias("s"))
+    sig = lambda n: nodes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
+    near = pairs.join(sig("a"), "a").join(sig("b"), "b").where(_agreeing("sa", "sb") >= LEAST_AGREEING).select("a", "b")
+    text = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
+    joined = shared_table(near, "near").join(text("a"), "a").join(text("b"), "b").select("a", "b", _similarity(_hashes(words_of(F.col("ta"))), _hashes(words_of(F.col("tb")))).alias("s"))
     return joined.where(F.col("s") >= SIMILARITY).select("a", "b")
 
 
@@ -87,46 +104,65 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct()
 
 
-def _hub_pairs(members: DataFrame, salt: int) -> DataFrame:
-    """Each bucket's members with the bucket's hub: the smallest by a salted hash."""
-    ranked = members.withColumn("o", F.xxhash64("node", F.lit(salt)))
-    hubs = ranked.groupBy("band", "h").agg(F.min_by("node", "o").alias("x"))
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Each bucket's members with the bucket's hub, the most central of them."""
+    weight = members.groupBy("node").agg(F.sum("n").alias("w"))
+    ranked = members.join(weight, "node")
+    hubs = ranked.groupBy("band", "h").agg(F.max_by("node", F.struct("w", "node")).alias("x"))
     return ranked.select("band", "h", F.col("node").alias("y")).join(hubs, ["band", "h"]).select("x", "y")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that are in different classes so far."""
-    other = members.select("band", "h", F.col("node").alias("y"), F.col("root").alias("other"))
-    return members.join(other, ["band", "h"]).where((F.col("root") < F.col("other"))).select(F.col("node").alias("x"), "y")
+def _shingles(text: Column) -> Column:
+    """Distinct five-word shingles as hashes, as SQL expressions."""
+    def cut(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(SHINGLE)]))
+        return F.array_distinct(F.when(F.size(w) >= SHINGLE, runs).otherwise(F.array(F.xxhash64(F.array_join(w, " ")))))
+
+    return let(words_of(text), cut)
 
 
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+def _prefix_pairs(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of a bucket's nodes in different classes that share a shingle of both nodes' prefixes.
+
+    A prefix is the rarest floor(0.2 n) + 1 of a node's n shingles, in one order for
+    all nodes; two sets at 0.8 must share one.  At their first shared shingle, places
+    i and j, no more than min(n - i, m - j) can be shared, and 0.8 needs
+    0.8 / 1.8 (n + m); near copies with too many own shingles fail here.
+    """
+    roots = placed.select("node", "root").distinct()
+    cut = shared_table(texts.join(roots, "node").select("node", "root", F.explode(_shingles(F.col("text"))).alias("g")), "shingles")
+    df = cut.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    # a shingle of one class stays in the order but cannot join two classes
+    ranked = cut.join(df, "g").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "g", (F.col("lo") != F.col("hi")).alias("apart")))).alias("x"))
+    keep = (F.floor(F.size("x") * (1 - SIMILARITY) + 1e-9) + 1).cast("int")
+    prefix = ranked.select("node", "root", F.size("x").alias("n"), F.posexplode(F.slice("x", F.lit(1), keep)).alias("i", "p")).where("p.apart").select("node", "root", "n", "i", "p.g")
+    prefix = shared_table(prefix.join(nodes.select("node", "bands"), "node"), "prefix")
+    pair = (F.col("l.g") == F.col("r.g")) & (F.col("l.root") < F.col("r.root")) & (F.least(F.col("l.n") - F.col("l.i"), F.col("r.n") - F.col("r.i")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("l.n") + F.col("r.n")) - 1e-6) & F.arrays_overlap("l.bands", "r.bands")
+    return prefix.alias("l").join(prefix.alias("r"), pair).select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one class, with their class so far."""
-    found = members.select("band", "h", "node").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = found.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "h", "n")
+    found = members.select("band", "h", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = found.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "h")
     return shared_table(found.join(mixed, ["band", "h"]), "mixed")
 
 
-def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links between nodes, enough to connect every class."""
-    small = members.where(F.col("n") <= SMALL_BUCKET)
+def _links(members: DataFrame, nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verified links between nodes, enough to connect every class, and each linked node's root."""
+    small, large = members.where(F.col("n") <= SMALL_BUCKET), members.where(F.col("n") > SMALL_BUCKET)
     close = small.select("band", "h", F.col("node").alias("x")).join(small.select("band", "h", F.col("node").alias("y")), ["band", "h"]).where("x < y").select("x", "y")
-    tried = shared_table(_ordered(close.union(_hub_pairs(members.where(F.col("n") > SMALL_BUCKET), 0))), "pairs")
-    links = shared_table(_verified(tried, texts), "links")
-    for turn in range(2):
-        mixed = _placed(members.where(F.col("n") > SMALL_BUCKET), links)
-        if mixed.isEmpty():
-            break
-        if turn == 0:
-            pairs = _hub_pairs(mixed, 1)
-            for salt in range(2, MORE_HUBS + 1):
-                pairs = pairs.union(_hub_pairs(mixed, salt))
-        else:
-            pairs = _cross_pairs(mixed)
-        fresh = shared_table(_ordered(pairs).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(fresh)
-        links = links.union(shared_table(_verified(fresh, texts), "links"))
-    return links
+    tried = shared_table(_ordered(close.union(_hub_pairs(large))), "pairs")
+    links = shared_table(_verified(tried, nodes, texts), "links")
+    roots = connected_components(links)
+    mixed = _mixed(large, roots)
+    if not mixed.isEmpty():
+        fresh = _ordered(_prefix_pairs(mixed, nodes, texts)).join(tried, ["a", "b"], "left_anti")
+        more = shared_table(_verified(shared_table(fresh, "pairs"), nodes, texts), "links")
+        if not more.isEmpty():
+            links = links.union(more)
+            roots = connected_components(links)
+    return links, roots
 
 
 def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,8 +171,8 @@ def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
     n_links counts the verified links of the row's node that were needed.
     """
     cut = df.select(F.col(doc).alias("doc_id"), let(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.struct(_node(w).alias("node"), _hashes(w).alias("hashes"))).alias("x"))
-    rows = shared_table(cut.select("doc_id", "x.node", _bands("x.hashes").alias("bands")), "signatures")
-    nodes = shared_table(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands")), "nodes")
+    rows = shared_table(cut.select("doc_id", "x.node", _sketch("x.hashes").alias("k")).select("doc_id", "node", "k.bands", "k.sig"), "signatures")
+    nodes = shared_table(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = shared_table(buckets.join(shared, ["band", "h"]), "members")
@@ -145,12 +181,11 @@ def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
     texts = (
         df.select(F.col(doc).alias("_doc"), body.alias("text"))
         .join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")))
-        .where(_node(words_of(F.col("text"))) == F.col("node"))
+        .where(_node(words_of(F.col("text"))).eqNullSafe(F.col("node")))
         .dropDuplicates(["node"])
         .select("node", "text")
     )
-    links = shared_table(_links(members, shared_table(texts, "texts")), "links")
-    roots = connected_components(links)
+    links, roots = _links(members, nodes.select("node", "sig", "bands"), shared_table(texts, "texts"))
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
     placed = nodes.select("node", "first", "copies").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = shared_table(placed.select("node", "root", "first", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
@@ -168,11 +203,12 @@ def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
 
 def keep_one(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each class: the first row of the class's smallest doc_id."""
+    node, own, first, times = (hidden(df, n) for n in ("_node", "_own", "_first", "_times"))
     heads = classes(df, doc=doc, text=text).where(F.col("node").isNotNull() & F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    wanted = heads.groupBy("node").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_times"))
-    marked = df.withColumn("_node", _node(words_of(F.coalesce(F.col(text), F.lit("")))))
-    wordless = marked.where(F.col("_node").isNull())
-    chosen = marked.join(wanted, (F.col("_node") == F.col("node")) & F.col(doc).eqNullSafe(F.col("_first")))
-    once = chosen.where("_times = 1").select(*df.columns)
-    repeated = chosen.where("_times > 1").dropDuplicates(["_node"]).select(*df.columns)
+    wanted = heads.groupBy(F.col("node").alias(own)).agg(F.min("doc_id").alias(first), F.count(F.lit(1)).alias(times))
+    marked = df.withColumn(node, _node(words_of(F.coalesce(F.col(text), F.lit("")))))
+    wordless = marked.where(F.col(node).isNull())
+    chosen = marked.join(wanted, (F.col(node) == F.col(own)) & F.col(doc).eqNullSafe(F.col(first)))
+    once = chosen.where(F.col(times) == 1).select(*df.columns)
+    repeated = chosen.where(F.col(times) > 1).dropDuplicates([node]).select(*df.columns)
     return once.unionByName(repeated).unionByName(wordless.select(*df.columns))
