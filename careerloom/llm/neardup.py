@@ -181,7 +181,8 @@ def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
     texts = (
         df.select(F.col(doc).alias("_doc"), body.alias("text"))
         .join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")))
-        .where(_node(words_of(F.col("text"))).eqNullSafe(F.col("node")))
+        # written so that it stays a filter: an equality of the two would become a join key, computed for every text
+        .where(F.array_contains(F.array(_node(words_of(F.col("text")))), F.col("node")))
         .dropDuplicates(["node"])
         .select("node", "text")
     )
