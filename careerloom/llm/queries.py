@@ -36,7 +36,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded to ids and decoded again; digests of both."""
     ranks = bpe.read_ranks(TOKENIZER["rank_path"])
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_native(docs, ranks, TOKENIZER["pattern"])
+    coded = bpe.encode(docs, TOKENIZER["rank_path"], TOKENIZER["pattern"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
