@@ -326,11 +326,12 @@ def q_grouped_reg_audit(spark, sf_dir):
     return _audit(spark, sf_dir).select("group", "n", *[F.round(c, 4).alias(c) for c in ("metric", "lo", "hi")], F.round("r2", 6).alias("r2"))
 
 
-@query(f"WITH {_AUDIT}, b AS (SELECT * FROM audit ORDER BY mean, g LIMIT 1), w AS (SELECT * FROM audit ORDER BY mean DESC, g LIMIT 1) SELECT b.g AS best, w.g AS worst, round(abs(b.mean - w.mean), 4) AS gap, round(abs(b.mean - w.mean) / abs(b.mean), 6) AS relative_gap, NOT (b.lo > w.hi OR w.lo > b.hi) AS overlap, (b.lo > w.hi OR w.lo > b.hi) AS significant FROM b, w")
+@query(f"WITH {_AUDIT}, b AS (SELECT * FROM audit ORDER BY mean, g LIMIT 1), w AS (SELECT * FROM audit ORDER BY mean DESC, g LIMIT 1) SELECT coalesce(b.g, '') AS best, coalesce(w.g, '') AS worst, round(abs(b.mean - w.mean), 4) AS gap, round(abs(b.mean - w.mean) / abs(b.mean), 6) AS relative_gap, coalesce(NOT (b.lo > w.hi OR w.lo > b.hi), false) AS overlap, coalesce(b.lo > w.hi OR w.lo > b.hi, false) AS significant FROM (SELECT count(*) AS c FROM audit) LEFT JOIN b ON c >= 2 LEFT JOIN w ON c >= 2")
 def q_disparity(spark, sf_dir):
     """Best and worst region."""
     d = trust.disparity(_audit(spark, sf_dir), higher_is_better=False)
-    return d.select("best", "worst", F.round("gap", 4).alias("gap"), F.round("relative_gap", 6).alias("relative_gap"), "overlap", "significant")
+    named, sure = [F.coalesce(c, F.lit("")).alias(c) for c in ("best", "worst")], [F.coalesce(c, F.lit(False)).alias(c) for c in ("overlap", "significant")]
+    return d.select(*named, F.round("gap", 4).alias("gap"), F.round("relative_gap", 6).alias("relative_gap"), *sure)
 
 
 @query(f"""WITH {_LABELS}, {_boot_sql('lab', 'lang', 'doc_id', '(quality = pred)::INT', 100)}, t AS (SELECT lang AS g, quality AS l, count(*) AS s, count(*) FILTER (quality = pred) AS tp FROM lab GROUP BY ALL), p AS (SELECT lang AS g, pred AS l, count(*) AS n FROM lab GROUP BY ALL),
