@@ -141,9 +141,8 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     good = value > 1e-6 * value.max()
     nystrom = vector[:, good] / np.sqrt(value[good])
     target = np.array([names.index(x) for x in langs])
-    aside = np.zeros(len(texts), bool)
-    aside[order[3::4]] = True
-    if len(names) == 1 or (~aside).sum() < 2 * len(names):
+    aside = np.array([rank % 4 == 3 for rank in _ranks(langs)])
+    if len(names) == 1:
         aside[:] = False
     phi, y = k @ nystrom, 2.0 * np.eye(len(names))[target] - 1
     fitted, held = phi[~aside], phi[aside]
@@ -156,13 +155,19 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return model
 
 
-def _interleaved(langs: list[str]) -> list[int]:
-    """Indices with the languages taking turns."""
+def _ranks(langs: list[str]) -> list[int]:
+    """Each text's number among those of its language."""
     seen: dict[str, int] = {}
     ranks = []
     for x in langs:
         ranks.append(seen.get(x, 0))
         seen[x] = ranks[-1] + 1
+    return ranks
+
+
+def _interleaved(langs: list[str]) -> list[int]:
+    """Indices with the languages taking turns."""
+    ranks = _ranks(langs)
     return sorted(range(len(langs)), key=lambda i: (ranks[i], langs[i]))
 
 

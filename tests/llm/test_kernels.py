@@ -21,6 +21,17 @@ def test_language_accuracy_on_held_out_rows(spark, sf_dir):
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
 
 
+def test_every_language_is_fitted_when_all_have_equally_many_texts():
+    r = random.Random(1)
+    alphabets = {"w": "abcde", "x": "defgh", "y": "ghijk", "z": "jklmn"}
+    make = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randrange(2, 7))) for _ in range(40))
+    texts, langs = zip(*[(make(a), n) for _ in range(40) for n, a in alphabets.items()])
+    model = langid.fit(list(texts), list(langs))
+    for n, a in alphabets.items():
+        got, score = model.predict([make(a) for _ in range(20)])
+        assert got == [n] * 20 and min(score) > 0.6
+
+
 def test_presence_kernel_counts_shared_ngrams():
     marks = ["abc abd", "xyz"]
     g = langid.fit_grams(marks)
