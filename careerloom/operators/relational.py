@@ -57,18 +57,28 @@ def mean_lookup(train: DataFrame, test: DataFrame, on: Sequence[str], target: st
     return test.join(means, list(on), "left").crossJoin(F.broadcast(overall)).withColumn(name, F.coalesce(name, "_overall")).drop("_overall")
 
 
+#: Phrases up to this number are broadcast and tested against every text.
+FEW_PHRASES = 1000
+
+
 def contains_join(texts: DataFrame, phrases: DataFrame, text: str, phrase: str, *, least_chars: int = 4) -> DataFrame:
     """(text row, phrase) where the text holds the phrase as a raw substring.
 
-    A phrase of at least g characters holds its own first g-gram, so both sides are
-    joined on g-grams first; the substring test decides.  No pair outside a shared
-    g-gram is built.
+    Few phrases, which is checked, are broadcast to the texts.  Beyond that both sides
+    are joined on g-grams first, since a phrase of at least g characters holds its own
+    first g-gram; only hashes are exploded, the text joins back for the pairs that
+    share one, and the substring test decides.
     """
     g = least_chars
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.substring(F.col(text), i, F.lit(g))))
-    left = texts.where(F.length(text) >= g).withColumn("_g", F.explode(grams))
-    right = phrases.where(F.length(phrase) >= g).withColumn("_g", F.substring(phrase, 1, g))
-    return left.join(right, "_g").where(F.col(text).contains(F.col(phrase))).drop("_g")
+    left, right = texts.where(F.length(text) >= g), phrases.where(F.length(phrase) >= g)
+    held = F.col(text).contains(F.col(phrase))
+    if phrases.limit(FEW_PHRASES + 1).count() <= FEW_PHRASES:
+        return left.join(F.broadcast(right), held)
+    key = [F.xxhash64(text).alias("_k"), F.md5(F.col(text).cast("binary")).alias("_k2")]
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - g + 1), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(g)))))
+    hashed = left.select(*key, F.explode(grams).alias("_g")).distinct()
+    pairs = hashed.join(right.withColumn("_g", F.xxhash64(F.substring(phrase, 1, g))), "_g").drop("_g")
+    return left.withColumns({"_k": key[0], "_k2": key[1]}).join(pairs, ["_k", "_k2"]).where(held).drop("_k", "_k2")
 
 
 def grid(*dims: DataFrame) -> DataFrame:

@@ -177,7 +177,9 @@ def test_row_numbers_and_ids(spark):
     assert all(r.rn == 1000 - r.k for r in ranked)
 
 
-def test_contains_join_equals_brute_force(spark):
+@pytest.mark.parametrize("few", [1000, 1])
+def test_contains_join_equals_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(relational, "FEW_PHRASES", few)
     texts, phrases = ["senior data analysts wanted", "nurse", "", None, "data"], ["data analyst", "nurse", "cook", "data"]
     t = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     p = spark.createDataFrame([(x,) for x in phrases], "p string")
