@@ -7,9 +7,9 @@ limit are boilerplate: they are removed, and a document that keeps too small a
 share of its words is depleted and rejected.
 
 Copies of one document must not make its own lines look like boilerplate, so a
-document is known, for the count of one line, by the smallest hash among its
-*other* lines: exact and near copies share that value, unrelated documents that
-share only the boilerplate line do not.
+document is known, for the count of a line, by the hash of its text: exact copies
+count once, any other documents that hold the line count each, whatever else they
+share.
 
 Defined results: null text has no words (it fails the base rules); a null host
 is a host of its own; repeated rows get equal verdicts; words are runs of
@@ -101,17 +101,11 @@ def judge(df: DataFrame, *, doc: str = "doc_id", text: str = "text", host: str =
     """A row per row of ``df``: id, measures, base_failed, kept, frequent line hashes and the join key."""
     body = F.coalesce(F.col(text), F.lit(""))
     measured = df.select(
-        F.col(doc).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), *_row_key(F.col(doc), F.col(text)), *measures(body), _distinct_lines(body).alias("_lines")
-    ).select("doc_id", "_host", "_k", "_k2", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", "_lines")
+        F.col(doc).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), *_row_key(F.col(doc), F.col(text)), F.xxhash64(body).alias("_by"), *measures(body), _distinct_lines(body).alias("_lines")
+    ).select("doc_id", "_host", "_k", "_k2", "_by", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", "_lines")
     rows = shared_table(measured, "quality")
-    hashes = F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["h"])))
-    held = rows.select("_host", "_k", "_k2", hashes.alias("hs")).select(
-        "_host", "_k", "_k2", F.get("hs", F.lit(0)).alias("first"), F.get("hs", F.lit(1)).alias("second"), F.explode("hs").alias("h")
-    )
-    known_by = F.coalesce(F.when(F.col("h") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(0))
-    frequent = (
-        held.select("_host", "h", known_by.alias("by")).distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_line_docs).select("_host", "h")
-    )
+    held = rows.select("_host", "_k", "_k2", "_by", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
+    frequent = held.select("_host", "h", "_by").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_line_docs).select("_host", "h")
     found = held.join(frequent, ["_host", "h"]).groupBy("_k", "_k2").agg(F.collect_set("h").alias("frequent"))
     lost = let(F.coalesce(F.col("frequent"), F.array().cast("array<bigint>")), lambda f: F.aggregate("_lines", F.lit(0), lambda n, x: n + F.when(F.array_contains(f, x["h"]), x["words"]).otherwise(0)))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -120,7 +114,7 @@ def judge(df: DataFrame, *, doc: str = "doc_id", text: str = "text", host: str =
         .withColumn("lost_words", lost.cast("long"))
         .withColumn("base_failed", base)
         .withColumn("kept", ~base & (100 * (F.col("n_words") - F.col("lost_words")) >= min_kept_percent * F.col("n_words")))
-        .drop("_lines", "_host")
+        .drop("_lines", "_host", "_by")
     )
 
 

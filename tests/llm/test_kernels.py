@@ -255,3 +255,17 @@ def test_quality_removes_boilerplate_but_not_copies(spark):
     assert got[200].n_dup_lines == 2 and not got[200].kept
     assert got[201].base_failed and got[201].n_repeat_words == 120
     assert all(line not in r.text for r in quality.clean(df).collect())
+
+
+def test_quality_finds_boilerplate_of_several_lines(spark):
+    menu = [f"menu entry {k} of the valley paper with shop and archive" for k in range(20)]
+    rows = [(i, "\n".join([*menu, *(" ".join(f"d{i}k{k}w{j}" for j in range(60)) for k in range(3))]), "h") for i in range(50)]
+    only = [f"legal notice {k} that all pages of this host repeat" for k in range(12)]
+    rows += [(100 + i, "\n".join(only[:i] + only[i + 1 :]), "g") for i in range(12)]
+    rows += [(200 + i, "\n".join([*menu[:10], " ".join(f"e{i}w{j}" for j in range(400))]), "few") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert all(got[i].kept and got[i].lost_words == 220 and len(got[i].frequent) == 20 for i in range(50))
+    assert all(not got[100 + i].kept and got[100 + i].lost_words == 110 for i in range(12))
+    assert all(got[200 + i].lost_words == 0 for i in range(10))
+    assert all("menu" not in r.text for r in quality.clean(df).where("source = 'h'").collect())
