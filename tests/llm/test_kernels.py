@@ -269,3 +269,34 @@ def test_quality_finds_boilerplate_of_several_lines(spark):
     assert all(not got[100 + i].kept and got[100 + i].lost_words == 110 for i in range(12))
     assert all(got[200 + i].lost_words == 0 for i in range(10))
     assert all("menu" not in r.text for r in quality.clean(df).where("source = 'h'").collect())
+
+
+def test_licenses_of_several_paragraphs_are_found_inside_texts(spark):
+    by = {}
+    for name, text in licenses.TEMPLATES:
+        by[name] = max(by.get(name, ""), text, key=len)
+    prose = "\n".join(f"def f{i}(a, b): return the value of a{i} in the list" for i in range(200))
+    bodies = [by["MIT"].replace("\n", "\n\n"), by["BSD-3-Clause"].replace("\n", "\n\n"), by["Zlib"].replace("\n", "\n\n"), "\n".join(f"# {line[k:k + 60]}" for line in by["ISC"].split("\n") for k in range(0, len(line), 60))]
+    texts = [f"{prose}\n\n{b}\n\n{prose}" for b in bodies] + [prose, by["MIT"][:300] + "\n\n" + prose]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.license for r in rows] == ["MIT", "BSD-3-Clause", "Zlib", "ISC", None, None]
+    assert [r.dice for r in rows[:3]] == [1.0, 1.0, 1.0] and rows[3].dice > 0.8
+
+    def brute(text, template):
+        lines, t, top = [licenses._words(x) for x in text.split("\n")], licenses.bigrams(template), 0.0
+        for i in range(len(lines)):
+            run = []
+            for j in range(i, len(lines)):
+                run += lines[j]
+                if len(run) > licenses.RUN * len(licenses._words(template)):
+                    break
+                g = set(zip(run, run[1:]))
+                top = max(top, 2 * len(g & t) / (len(g) + len(t)))
+        return top
+
+    own = [("A", "red fox and blue fox and red fox ran off"), ("B", "one two three four")]
+    noisy = ["red fox and\n\nblue fox and red\nfox ran", "x y\none two\nthree\nthree four\none two three", "red fox and blue\nfox and red fox and red\nfox ran off home\n!!\none two three four five six"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(noisy)), "doc_id long, text string"), templates=own, threshold=0.6).orderBy("doc_id").collect()
+    for r, text in zip(rows, noisy):
+        want = {n: d for n, t in own if (d := brute(text, t)) >= 0.6}
+        assert r.licenses == sorted(want) and r.dice == max(want.values(), default=0.0)
