@@ -226,3 +226,25 @@ def test_factor_models_learn(spark):
     train = spark.createDataFrame(rows, "occ long, item string, rating double")
     s = factor.score_models(train, ["mf"], k=4, epochs=200, lr=0.05, batch=32).join(train, ["occ", "item"]).withColumn("y", (F.col("rating") > 2).cast("int"))
     assert one(ranking.roc_auc(s, "score", "y"))["roc_auc"] > 0.9
+
+
+def test_regression_audit_query_takes_every_test_order(spark, sf_dir):
+    import hashlib
+
+    import numpy as np
+
+    from careerloom.plans import posting_queries as p
+
+    rows = p._predicted(spark, sf_dir).select("region", "o_orderkey", F.col("o_totalprice").cast("double").alias("y"), F.col("pred").cast("double").alias("pred")).toPandas().sort_values("o_orderkey")
+    want = {}
+    for region, g in rows.groupby("region"):
+        if len(g) >= 20:
+            e = (g["y"] - g["pred"]).abs().to_numpy()
+            means = [e[[int(hashlib.md5(f"42:{b}:{i}".encode()).hexdigest()[:8], 16) % len(e) for i in range(len(e))]].mean() for b in range(100)]
+            want[region] = (len(e), e.mean(), *np.percentile(means, [2.5, 97.5]))
+    got = {r["group"]: (r["n"], r["metric"], r["lo"], r["hi"]) for r in p.q_grouped_reg_audit(spark, sf_dir).collect()}
+    assert sum(n for n, *_ in got.values()) == len(rows) and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-3) for k in want)
+    worst, best = max(want, key=lambda k: (want[k][1], k)), min(want, key=lambda k: (want[k][1], k))
+    found = one(p.q_disparity(spark, sf_dir))
+    assert (found["best"], found["worst"]) == (best, worst) and found["gap"] == pytest.approx(want[worst][1] - want[best][1], abs=1e-3)
