@@ -53,10 +53,10 @@ def q_node2vec(spark, sf_dir):
 
 @query()
 def q_foldin(spark, sf_dir):
-    """Profiles folded into the factors; ratings of every descriptor."""
+    """Every occupation's profile folded into the factors; ratings of every descriptor."""
     train, _ = _cells(spark, sf_dir)
     model = factor.factors(train, k=16, epochs=30)
-    profiles = ratings(spark, sf_dir).where("occ <= 3 and rating >= 3").select(F.col("occ").cast("string").alias("user"), "item", "rating")
+    profiles = ratings(spark, sf_dir).where("rating >= 3").select(F.col("occ").cast("string").alias("user"), "item", "rating")
     return factor.reconstruct(model, factor.fold_in(model, profiles)).select("user", "item", F.round("rating", 4).alias("rating"))
 
 

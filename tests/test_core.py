@@ -248,3 +248,12 @@ def test_regression_audit_query_takes_every_test_order(spark, sf_dir):
     worst, best = max(want, key=lambda k: (want[k][1], k)), min(want, key=lambda k: (want[k][1], k))
     found = one(p.q_disparity(spark, sf_dir))
     assert (found["best"], found["worst"]) == (best, worst) and found["gap"] == pytest.approx(want[worst][1] - want[best][1], abs=1e-3)
+
+
+def test_foldin_query_folds_every_profile(spark, sf_dir):
+    from careerloom.plans import model_queries as m
+
+    users = {str(r.occ) for r in m.ratings(spark, sf_dir).where("rating >= 3").select("occ").distinct().collect()}
+    items = {r.item for r in m._cells(spark, sf_dir)[0].select("item").distinct().collect()}
+    got = [(r.user, r.item) for r in m.q_foldin(spark, sf_dir).collect()]
+    assert len(users) > 3 and len(got) == len(set(got)) and set(got) == {(u, i) for u in users for i in items}
