@@ -256,11 +256,11 @@ def train(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Net:
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: Net) -> list[list[tuple[int, int, int]]]:
-    """Spans that the network adds to each text's base spans."""
+    """Spans that the network adds to each text's base spans: of all candidates but those inside a base span."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     where, rows = [], []
     for i, (t, found) in enumerate(zip(texts, base)):
-        spans = [(s, e) for s, e in candidates(t) if not any(a < e and b > s for a, _, b in found)]
+        spans = [(s, e) for s, e in candidates(t) if not any(a <= s and e <= b for a, _, b in found)]
         for j, w in windows(t, spans):
             where.append((i, spans[j]))
             rows.append(w)
