@@ -53,20 +53,28 @@ def _has_word(line: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words inside a 3-word window that occurs twice or more."""
+    """Words inside a 3-word window that occurs twice or more; sorts, so n log n in the words.
 
-    def covered(windows: Column) -> Column:
-        ordered = F.sort_array(windows)
-        twice = let(ordered, lambda s: F.array_distinct(F.array_compact(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.when(a == b, a)))))
+    Window hashes are sorted with their places in the low 31 bits; places whose upper
+    bits meet a neighbour's are then sorted by the whole hash, which decides.
+    """
+    place = (1 << 31) - 1
+
+    def meeting(ordered: Column, value) -> Column:
+        """Places of the elements that share ``value`` with a neighbour."""
+        same = lambda x, i: F.coalesce(value(F.get(ordered, i - 1)) == value(x), F.lit(False)) | F.coalesce(value(F.get(ordered, i + 1)) == value(x), F.lit(False))
+        return F.filter(ordered, same)
 
-        def spread(dup: Column) -> Column:
-            at = F.filter(F.transform(windows, lambda h, i: F.when(F.array_contains(dup, h), i)), lambda i: i.isNotNull())
-            gaps = lambda p: F.aggregate(
-                F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.least(F.lit(3), b - a)), F.lit(3), lambda total, gap: total + gap
-            )
-            return F.when(F.size(dup) == 0, F.lit(0)).otherwise(let(at, gaps))
+    def spread(p: Column) -> Column:
+        gaps = F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: F.least(F.lit(3), b - a))
+        return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda total, gap: total + gap))
 
-        return let(twice, spread)
+    def covered(windows: Column) -> Column:
+        near = let(F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.lit(~place)).bitwiseOR(i.cast("long")))), lambda o: meeting(o, lambda x: F.shiftright(x, 31)))
+        # F.get is null outside the array, so the ends have one neighbour
+        whole = lambda c: F.sort_array(F.transform(c, lambda x: F.struct(F.get(windows, x.bitwiseAND(F.lit(place)).cast("int")).alias("h"), x.bitwiseAND(F.lit(place)).cast("int").alias("i"))))
+        twice = lambda c: let(whole(c), lambda o: F.sort_array(F.transform(meeting(o, lambda x: x["h"]), lambda x: x["i"])))
+        return let(near, lambda c: F.when(F.size(c) == 0, F.lit(0)).otherwise(let(twice(c), spread)))
 
     def count(w: Column) -> Column:
         windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
@@ -91,30 +99,46 @@ def _row_key(doc: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc, text).alias("_k"), F.hash(text, doc).alias("_k2")]
 
 
-def _distinct_lines(text: Column) -> Column:
-    """struct(h, words) of each distinct line; words counts every occurrence in the text."""
-    each = F.transform(F.filter(F.split(text, "\n", -1), _has_word), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).alias("words")))
-    return each
+def _lines(text: Column) -> Column:
+    """struct(h, words) of each distinct normalised line; words counts every occurrence in the text."""
+    each = F.transform(F.filter(F.split(text, "\n", -1), _has_word), lambda x: F.struct(line_hash(x).alias("h"), F.size(words_of(x)).cast("long").alias("words")))
+
+    def summed(x: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i - 1)["h"] != F.get(x, i)["h"]))
+        run = lambda s: F.transform(s, lambda at, i: F.struct(F.get(x, at)["h"].alias("h"), (F.get(x, at)["words"] * (F.coalesce(F.get(s, i + 1), F.size(x)) - at)).alias("words")))
+        return F.when(F.size(x) < 2, x).otherwise(let(first, run))
+
+    return let(F.sort_array(each), summed)
+
+
+def _among(found: Column, h: Column) -> Column:
+    """Whether the sorted array ``found`` holds ``h``: steps of halving size, so that long lists cost a logarithm."""
+    step = lambda at, p: F.when(F.get(found, at + p - 1) <= h, at + p).otherwise(at)
+    at = F.aggregate(F.array(*[F.lit(1 << b) for b in range(30, -1, -1)]), F.lit(0), step)
+    long = F.coalesce(F.get(found, at - 1) == h, F.lit(False))
+    return F.when(F.size(found) <= 64, F.array_contains(found, h)).otherwise(long)
 
 
 def judge(df: DataFrame, *, doc: str = "doc_id", text: str = "text", host: str = "source", max_line_docs: int = MAX_LINE_DOCS, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
-    """A row per row of ``df``: id, measures, base_failed, kept, frequent line hashes and the join key."""
+    """A row per row of ``df``: id, measures, base_failed, kept, frequent line hashes (sorted) and the join key."""
     body = F.coalesce(F.col(text), F.lit(""))
     measured = df.select(
-        F.col(doc).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), *_row_key(F.col(doc), F.col(text)), F.xxhash64(body).alias("_by"), *measures(body), _distinct_lines(body).alias("_lines")
+        F.col(doc).alias("doc_id"), F.coalesce(F.col(host).cast("string"), F.lit("\x00")).alias("_host"), *_row_key(F.col(doc), F.col(text)), F.xxhash64(body).alias("_by"), *measures(body), _lines(body).alias("_lines")
     ).select("doc_id", "_host", "_k", "_k2", "_by", "_w.n_words", "word_chars", "n_symbols", "n_dup_lines", "_w.n_repeat_words", "_lines")
     rows = shared_table(measured, "quality")
-    held = rows.select("_host", "_k", "_k2", "_by", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("h"))
+    held = rows.select("_host", "_k", "_k2", "_by", F.explode("_lines").alias("x")).select("_host", "_k", "_k2", "_by", "x.h", "x.words")
     frequent = held.select("_host", "h", "_by").distinct().groupBy("_host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_line_docs).select("_host", "h")
-    found = held.join(frequent, ["_host", "h"]).groupBy("_k", "_k2").agg(F.collect_set("h").alias("frequent"))
-    lost = let(F.coalesce(F.col("frequent"), F.array().cast("array<bigint>")), lambda f: F.aggregate("_lines", F.lit(0), lambda n, x: n + F.when(F.array_contains(f, x["h"]), x["words"]).otherwise(0)))
+    # repeated rows have equal keys and equal lines: the set holds each line once
+    found = held.join(frequent, ["_host", "h"]).groupBy("_k", "_k2").agg(F.collect_set(F.struct("h", "words")).alias("_lost"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
-        rows.join(found, ["_k", "_k2"], "left")
-        .withColumn("lost_words", lost.cast("long"))
+        rows.drop("_lines", "_host", "_by")
+        .join(found, ["_k", "_k2"], "left")
+        .withColumn("frequent", F.sort_array(F.transform("_lost", lambda x: x["h"])))
+        .withColumn("lost_words", F.coalesce(F.aggregate("_lost", F.lit(0).cast("long"), lambda n, x: n + x["words"]), F.lit(0).cast("long")))
         .withColumn("base_failed", base)
         .withColumn("kept", ~base & (100 * (F.col("n_words") - F.col("lost_words")) >= min_kept_percent * F.col("n_words")))
-        .drop("_lines", "_host", "_by")
+        .drop("_lost")
     )
 
 
@@ -123,7 +147,7 @@ def clean(df: DataFrame, *, doc: str = "doc_id", text: str = "text", host: str =
     a, b, lines = hidden(df, "_k"), hidden(df, "_k2"), hidden(df, "_frequent")
     verdict = judge(df, doc=doc, text=text, host=host, **limits).where("kept").dropDuplicates(["_k", "_k2"]).select(F.col("_k").alias(a), F.col("_k2").alias(b), F.col("frequent").alias(lines))
     k, k2 = _row_key(F.col(doc), F.col(text))
-    trimmed = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(_has_word(x) & F.array_contains(F.col(lines), line_hash(x)))), "\n")
+    trimmed = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x: ~(_has_word(x) & _among(F.col(lines), line_hash(x)))), "\n")
     out = df.withColumns({a: k, b: k2}).join(verdict, [a, b]).withColumn(text, F.when(F.col(lines).isNull(), F.col(text)).otherwise(trimmed))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text).cast(df.schema["n_chars"].dataType))

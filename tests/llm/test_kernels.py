@@ -312,3 +312,34 @@ def test_secret_candidates_beyond_a_base_span_are_scored(spark):
     assert [(s, e) for s, _, e in added[0]] == [(4, len(texts[0]) - len(" there"))] and added[1] == []
     out = secrets.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["see [SECRET] there", "see [SECRET] there"]
+
+
+def test_quality_counts_common_lines_of_any_number(spark):
+    rows = []
+    for common in (1, 2, 4, 8):
+        menu = [f"entry {k} of the site menu number {common}" for k in range(common)]
+        rows += [(common * 100 + i, "\n".join([*menu, f"page {i} " + " ".join(f"p{common}n{i}w{j}" for j in range(60))]), f"host{common}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for r in quality.judge(df).collect():
+        assert len(r.frequent) == r.doc_id // 100 and r.lost_words == 8 * (r.doc_id // 100) and r.kept
+
+
+def test_repeated_words_equal_brute_force(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefg") for _ in range(r.randrange(60))) for _ in range(150)] + [" ".join(f"w{r.randrange(60)}" for _ in range(3000)), " ".join(["same"] * 500)]
+
+    def brute(w):
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return len({p for i, g in enumerate(grams) if grams.count(g) > 1 for p in (i, i + 1, i + 2)})
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in df.select("text", quality.repeated_words(quality.words_of(F.col("text"))).alias("n")).collect():
+        assert x.n == brute(x.text.split())
+
+
+def test_long_lists_of_boilerplate_are_searched(spark):
+    lines = [f"line {k} that every page of the host carries" for k in range(150)]
+    rows = [(i, "\n".join([*lines, *lines[:3], " ".join(f"d{i}w{j}" for j in range(3000))]), "h") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert all(len(r.frequent) == 150 and r.lost_words == 153 * 9 and r.kept for r in quality.judge(df).collect())
+    assert all(r.text == " ".join(f"d{r.doc_id}w{j}" for j in range(3000)) for r in quality.clean(df).collect())
