@@ -204,16 +204,13 @@ WITH docs AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, ''
 windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)),
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, l FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS l FROM docs) WHERE {_BARE_SQL.format("l")} <> ''),
+lines AS (SELECT doc_id, host, body, l FROM (SELECT doc_id, host, md5(text) AS body, unnest(string_split(text, chr(10))) AS l FROM docs) WHERE {_BARE_SQL.format("l")} <> ''),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM lines GROUP BY doc_id),
 hashed AS (
-  SELECT doc_id, host, ('0x' || substr(md5(trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))), 1, 15))::BIGINT AS h, len({_WORDS_SQL.format("l")}) AS words FROM lines),
-held AS (SELECT doc_id, host, h, sum(words) AS words FROM hashed GROUP BY ALL),
-known AS (
-  SELECT doc_id, host, h, words, CASE WHEN h = list_min(o) THEN list_min(list_filter(o, lambda x: x <> h)) ELSE list_min(o) END AS by_line
-  FROM (SELECT *, list(h) OVER (PARTITION BY doc_id) AS o FROM held)),
-frequent AS (SELECT host, h FROM known GROUP BY host, h HAVING count(DISTINCT coalesce(by_line, 0)) > {quality.MAX_LINE_DOCS}),
-lost AS (SELECT doc_id, sum(words) AS lost_words FROM known JOIN frequent USING (host, h) GROUP BY doc_id),
+  SELECT doc_id, host, body, ('0x' || substr(md5(trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g'))), 1, 15))::BIGINT AS h, len({_WORDS_SQL.format("l")}) AS words FROM lines),
+held AS (SELECT doc_id, host, body, h, sum(words) AS words FROM hashed GROUP BY ALL),
+frequent AS (SELECT host, h FROM held GROUP BY host, h HAVING count(DISTINCT body) > {quality.MAX_LINE_DOCS}),
+lost AS (SELECT doc_id, sum(words) AS lost_words FROM held JOIN frequent USING (host, h) GROUP BY doc_id),
 measured AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length({_BARE_SQL.format("text")})::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
