@@ -2,25 +2,32 @@
 
 The kernel of two texts counts the n-grams (n = 1, 2, 3) that are present in both
 (blended-spectrum presence kernel), normalised by the geometric mean of their own
-counts.  Landmark texts give a Nyström map; one-versus-rest kernel ridge
+counts, all over the n-grams of the landmarks.  Landmark texts give a Nyström map; one-versus-rest kernel ridge
 regression in that map gives one score a language, and a temperature fitted on
 rows kept aside turns scores into probabilities.  Scoring is batched: presence
 rows of many texts times the landmarks' presence matrix, times the fitted
 weights.
 
-The n-gram space is that of the landmarks' most frequent letters; letters outside
-it break n-grams, everything that is no letter is one boundary symbol, and case
-is folded.  The fit uses a bounded sample: at most FIT_ROWS labelled texts of at
-most FIT_CHARS characters, equally many a language, drawn by hash; LANDMARKS of
-them are landmarks.  Scoring reads whole texts of every row.
+N-grams are hashed into BUCKETS, and the columns are the buckets that the landmarks
+hit, so letters of any script count and no letter table has an end.  Everything that
+is no letter is one boundary symbol, and case is folded.  The fit uses a bounded
+sample: FIT_ROWS labelled texts shared equally among all labelled languages (at least
+two of each), drawn by hash, of each a window of at most FIT_CHARS characters at a
+drawn place; LANDMARKS of them, at least one a language, are landmarks.  Scoring reads
+whole texts of every row; long texts and many texts go through in pieces of at most
+PIECE characters and CELLS presence cells, which bound the memory and not the result.
 
 Defined results: null text and text without a letter give ``und`` with score 0;
-a table without a labelled row gives ``und`` for all; ties go to the first
-language by name; repeated rows get equal results; other columns pass through; a column named like a result is replaced.
+a text that shares no n-gram with a landmark ties between all languages; a table
+without a labelled row gives ``und`` for all; ties go to the first language by name;
+repeated rows get equal results; other columns pass through; a column named like a
+result is replaced.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,81 +40,109 @@ from pyspark.sql.functions import pandas_udf
 from careerloom.llm.shared import extended
 
 UNKNOWN = "und"
-FIT_ROWS, FIT_CHARS, LANDMARKS, LETTERS = 2400, 20_000, 192, 96
+FIT_ROWS, FIT_CHARS, LANDMARKS = 2400, 20_000, 192
+BUCKETS = 1 << 18
+PIECE, CELLS = 1 << 19, 1 << 22
 RIDGE = 1e-3
 _BATCH = 256
+#: Odd multipliers of the multiply-shift hash, one for each place of an n-gram, and one for each n.
+_PLACE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+_SHIFT = np.uint64(64 - 18)
+
+
+@functools.cache
+def _folded() -> np.ndarray:
+    """Code point to its lower-case letter plus one; 1 for what is no letter."""
+    out = np.ones(0x110000, np.uint32)
+    for c in filter(str.isalpha, map(chr, range(0x110000))):
+        low = c.lower()
+        out[ord(c)] = ord(low if len(low) == 1 else c) + 1
+    return out
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Row numbers and texts in groups of about PIECE characters; parts of a longer text overlap by two."""
+    rows, parts, n = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - 2), PIECE):
+            part = t[at : at + PIECE + 2]
+            if parts and n + len(part) > PIECE:
+                yield rows, parts
+                rows, parts, n = [], [], 0
+            rows.append(i)
+            parts.append(part)
+            n += len(part)
+    if parts:
+        yield rows, parts
+
+
+def _hits(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, bucket) of every 1-, 2- and 3-gram."""
+    for rows, parts in _pieces(texts):
+        raw = "\0".join(parts).encode("utf-32-le", "surrogatepass")
+        ids = _folded()[np.frombuffer(raw, np.uint32)]
+        sizes = np.array([len(t) for t in parts], np.int64)
+        owner = np.repeat(np.array(rows, np.int64), sizes + 1)[: len(ids)]
+        ids[np.cumsum(sizes + 1)[:-1] - 1] = 0
+        code, known = np.zeros(len(ids), np.uint64), np.ones(len(ids), bool)
+        for n in range(3):
+            here = ids[n:]
+            known = known[: len(here)] & (here > 0)
+            code = code[: len(here)] + here * _PLACE[n]
+            key = ((code ^ (code >> np.uint64(31))) * _PLACE[(n + 1) % 3]) >> _SHIFT
+            yield owner[: len(here)][known], key[known].astype(np.int64)
 
 
 @dataclass
 class Grams:
-    """Maps texts to presence rows over the landmarks' n-grams."""
+    """Maps texts to presence rows over the buckets of the landmarks' n-grams."""
 
-    symbol: np.ndarray  # code point -> 0 unknown letter, 1 boundary, 2.. letters
-    column: np.ndarray  # n-gram code -> column, or the last one
+    column: np.ndarray  # bucket -> column, or the last one
     size: int
-    base: int
 
     def presence(self, texts: list[str]) -> np.ndarray:
-        raw = "\0".join(texts).encode("utf-32-le", "surrogatepass")
-        points = np.frombuffer(raw, np.uint32)
-        ids = self.symbol[points].astype(np.int32)
-        sizes = np.array([len(t) for t in texts], np.int64)
-        owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes + np.append(np.ones(len(texts) - 1, np.int64), 0))
-        ends = np.cumsum(sizes + 1)[:-1] - 1
-        ids[ends] = 0
-        out = np.zeros((len(texts), self.size + 1), np.float32)
-        flat, row = out.reshape(-1), owner * (self.size + 1)
-        code, b = ids, self.base
-        known = ids > 0
-        for n in range(3):
-            if n:
-                known = known[:-1] & (ids[n:] > 0)
-                code = code[:-1] * b + ids[n:]
-            start = len(code)
-            flat[row[:start] + np.where(known, self.column[code + _level(b, n)], self.size)] = 1
+        """(texts, size + 1) of 0 and 1; the last column, for n-grams of no landmark, stays 0."""
+        out = np.zeros((len(texts), self.size + 1), np.uint8)
+        for row, key in _hits(texts):
+            out[row, self.column[key]] = 1
         out[:, self.size] = 0
         return out
 
-
-def _level(base: int, n: int) -> int:
-    """First code of the (n + 1)-grams."""
-    return sum(base ** (i + 1) for i in range(n))
+    def batches(self, texts: list[str]) -> Iterator[list[str]]:
+        step = max(1, min(_BATCH, CELLS // (self.size + 1)))
+        return (texts[at : at + step] for at in range(0, len(texts), step))
 
 
 def fit_grams(texts: list[str]) -> Grams:
-    points = np.concatenate([np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts])
-    found, counts = np.unique(points, return_counts=True)
-    letters = [chr(c) for c in found[np.argsort(-counts, kind="stable")] if chr(c).isalpha()][:LETTERS]
-    alphabetic = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    symbol = np.where(alphabetic, 0, 1).astype(np.uint8)
-    for i, c in enumerate(letters):
-        for form in {c, c.upper()}:
-            if len(form) == 1:
-                symbol[ord(form)] = i + 2
-    base = len(letters) + 2
-    grams = Grams(symbol, np.arange(_level(base, 3), dtype=np.int32), _level(base, 3), base)
-    seen = np.zeros(grams.size, bool)
-    for t in texts:
-        seen |= grams.presence([t])[0, :-1] > 0
-    column = np.full(grams.size, seen.sum(), np.int32)
+    seen = np.zeros(BUCKETS, bool)
+    for _, key in _hits(texts):
+        seen[key] = True
+    column = np.full(BUCKETS, seen.sum(), np.int32)
     column[seen] = np.arange(seen.sum())
-    return Grams(symbol, column, int(seen.sum()), base)
+    return Grams(column, int(seen.sum()))
 
 
 @dataclass
 class Model:
     grams: Grams
-    landmarks: np.ndarray  # (grams, landmarks) presence, columns normalised
+    landmarks: np.ndarray  # (grams, landmarks) presence
+    norms: np.ndarray  # square roots of the landmarks' counts
     weights: np.ndarray  # (landmarks, languages)
     languages: list[str]
     temperature: float
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        rows = self.grams.presence(texts)[:, :-1]
-        return (rows @ self.landmarks) / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+        """Normalised kernel values with every landmark; only columns that the batch hits are multiplied."""
+        parts = [np.zeros((0, len(self.norms)), np.float32)]
+        for batch in self.grams.batches(texts):
+            rows = self.grams.presence(batch)[:, :-1]
+            used = np.flatnonzero(rows.any(0))
+            near = rows[:, used].astype(np.float32)
+            parts.append((near @ self.landmarks[used].astype(np.float32)) / self.norms / np.sqrt(np.maximum(near.sum(1, keepdims=True), 1)))
+        return np.concatenate(parts)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([self.kernel(texts[i : i + _BATCH]) @ self.weights for i in range(0, len(texts), _BATCH)])
+        return self.kernel(texts) @ self.weights
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         return _softmax(self.scores(texts) * self.temperature)
@@ -131,12 +166,12 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     """Fit on labelled texts; every fourth text of a language is kept for the temperature."""
     names = sorted(set(langs))
     order = _interleaved(langs)
-    marks = [texts[i] for i in order[:LANDMARKS]]
+    marks = [texts[i] for i in order[: max(LANDMARKS, len(names))]]
     grams = fit_grams(marks)
-    rows = np.concatenate([grams.presence(marks[i : i + _BATCH])[:, :-1] for i in range(0, len(marks), _BATCH)])
-    model = Model(grams, (rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))).T.astype(np.float32).copy(), np.zeros((len(marks), len(names))), names, 1.0)
-    k = np.concatenate([model.kernel(texts[i : i + _BATCH]) for i in range(0, len(texts), _BATCH)]).astype(np.float64)
-    among = np.concatenate([model.kernel(marks[i : i + _BATCH]) for i in range(0, len(marks), _BATCH)]).astype(np.float64)
+    rows = np.concatenate([grams.presence(batch)[:, :-1] for batch in grams.batches(marks)])
+    norms = np.sqrt(np.maximum(rows.sum(1, dtype=np.int64), 1)).astype(np.float32)
+    model = Model(grams, rows.T.copy(), norms, np.zeros((len(marks), len(names))), names, 1.0)
+    k, among = model.kernel(texts).astype(np.float64), model.kernel(marks).astype(np.float64)
     value, vector = np.linalg.eigh((among + among.T) / 2)
     good = value > 1e-6 * value.max()
     nystrom = vector[:, good] / np.sqrt(value[good])
@@ -172,22 +207,26 @@ def _interleaved(langs: list[str]) -> list[int]:
 
 
 def training_sample(df: DataFrame, *, doc: str, text: str, lang: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts, equally many a language, by hash order."""
-    usable = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= FIT_CHARS) & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in df.where(F.col(lang).isNotNull()).groupBy(lang).agg(F.count(F.lit(1))).orderBy(F.desc("count(1)"), lang).limit(256).collect()}
-    each = max(2, rows // max(1, len(counts)))
-    draw = F.pmod(F.xxhash64(F.lit(5), doc, text), F.lit(1 << 30))
-    share = F.lit(0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(int(min(1.0, 2.0 * each / n) * (1 << 30)))).otherwise(share)
-    w = W.partitionBy(lang).orderBy("_draw", F.col(doc).asc_nulls_first())
-    drawn = usable.withColumn("_draw", draw).where(F.col("_draw") < share)
-    return drawn.select(doc, text, lang, "_draw").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= each).select(text, lang, "_rank", "_draw")
+    """About ``rows`` labelled texts (text, lang, _rank), equally many a language, by hash order; long ones as a window."""
+    labelled = df.where(F.col(lang).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))  # reads the labels alone
+    each = max(2, rows // max(1, counts.count()))
+    drawn = (
+        labelled.where(F.col("_text").rlike(r"\p{L}"))
+        .withColumn("_draw", F.pmod(F.xxhash64(F.lit(5), "_doc", "_text"), F.lit(1 << 30)))
+        .join(counts.withColumnRenamed("_lang", "_of"), F.col("_lang") == F.col("_of"))
+        # twice the wanted number on average: the exact cut follows on these few rows
+        .where(F.col("_draw") * F.col("_n") < F.lit((2 * each + 8) * (1 << 30)))
+    )
+    place = (F.col("_draw") % F.greatest(F.lit(1), F.length("_text") - FIT_CHARS + 1)).cast("int") + 1
+    w = W.partitionBy("_lang").orderBy("_draw", F.col("_doc").asc_nulls_first())
+    ranked = drawn.select("_doc", "_lang", "_draw", F.substring("_text", place, F.lit(FIT_CHARS)).alias("_text")).withColumn("_rank", F.row_number().over(w))
+    return ranked.where((F.col("_rank") <= each) & F.col("_text").rlike(r"\p{L}")).select(F.col("_text").alias("text"), F.col("_lang").alias("lang"), "_rank")
 
 
 def train(df: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    sample = training_sample(df, doc=doc, text=text, lang=lang).toPandas().sort_values([lang, "_rank"])
-    return fit(sample[text].tolist(), sample[lang].tolist()) if len(sample) else None
+    sample = training_sample(df, doc=doc, text=text, lang=lang).toPandas().sort_values(["lang", "_rank"])
+    return fit(sample["text"].tolist(), sample["lang"].tolist()) if len(sample) else None
 
 
 def identify(df: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:

@@ -343,3 +343,43 @@ def test_long_lists_of_boilerplate_are_searched(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert all(len(r.frequent) == 150 and r.lost_words == 153 * 9 and r.kept for r in quality.judge(df).collect())
     assert all(r.text == " ".join(f"d{r.doc_id}w{j}" for j in range(3000)) for r in quality.clean(df).collect())
+
+
+def test_letters_of_large_scripts_are_told_apart():
+    r = random.Random(9)
+    scripts = {"han_a": [chr(0x4E00 + 2 * i) for i in range(3000)], "han_b": [chr(0x4E01 + 2 * i) for i in range(3000)]} | {n: list(a) for n, a in {"la": "abcdefghij", "lb": "ghijklmnop", "lc": "opqrstuvwx"}.items()}
+    make = lambda a, n: " ".join("".join(r.choice(a) for _ in range(r.randrange(2, 7))) for _ in range(n))
+    texts, langs = zip(*[(make(a, 40), n) for _ in range(60) for n, a in scripts.items()])
+    model = langid.fit(list(texts), list(langs))
+    for n, a in scripts.items():
+        got, _ = model.predict([make(a, 5) for _ in range(50)])
+        assert sum(g == n for g in got) > 45
+
+
+def test_every_labelled_language_is_sampled(spark):
+    rows = [(i, f"text of l{i % 300} " + "xyz " * (9000 if i % 300 == 7 else 1), f"l{i % 300}") for i in range(900)]
+    got = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), doc="doc_id", text="text", lang="lang").collect()
+    assert len({x.lang for x in got}) == 300 and max(len(x.text) for x in got) <= langid.FIT_CHARS
+    assert langid.training_sample(spark.createDataFrame(rows[:1], "doc_id long, text string, lang string"), doc="doc_id", text="text", lang="lang").count() == 1
+
+
+def test_language_scores_equal_brute_force(monkeypatch):
+    r = random.Random(2)
+    make = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randrange(1, 6))) for _ in range(12))
+    langs = ["a", "b", "c"] * 12
+    texts = [make({"a": "abcde", "b": "defgh", "c": "ÄÖß xyz"}[x]) for x in langs]
+    model = langid.fit(texts, langs)
+    grams = lambda t: {x for n in (1, 2, 3) for i in range(len(t) - n + 1) for x in [t[i : i + n]]}
+    fold = lambda t: grams("".join(c.lower() if c.isalpha() else " " for c in t))
+    marks = [fold(texts[i]) for i in langid._interleaved(langs)[: langid.LANDMARKS]]
+    known = set().union(*marks)
+    asked = [make("abcdefghÄÖßQ"), "Xyz!", make("ABC") * 30, "?"]
+    kernel = [[len((g := fold(t) & known) & m) / max(1, len(m) * len(g)) ** 0.5 for m in marks] for t in asked]
+    want = np.array(kernel) @ model.weights
+    assert model.scores(asked) == pytest.approx(want, abs=1e-4)
+    p = np.exp(want * model.temperature)
+    p /= p.sum(1, keepdims=True)
+    assert model.probabilities(asked) == pytest.approx(p, abs=1e-4)
+    monkeypatch.setattr(langid, "PIECE", 7)  # cuts inside every text
+    monkeypatch.setattr(langid, "CELLS", 1)
+    assert model.scores(asked) == pytest.approx(want, abs=1e-4)
