@@ -8,8 +8,12 @@ cut.  What is left at a partition's end is cut into sequences of a power of two,
 which need no padding, so there is no padding at all.
 
 Text is shuffled once and each text is encoded once, in the task that packs it.
-The sort key ends in a hash of id and text, so a group of equal texts spreads over
-as many partitions as it needs.
+The sort key ends in a hash of id and text and in a row number, so a group of equal
+texts or equal rows spreads over as many partitions as it needs.  Partitions are as
+many as PARTITION_BYTES of text ask for, so a task's input does not grow with the table.
+
+Ids are those of the vocabulary with special strings read as ordinary text: a document
+that names the end-of-text string cannot end its sequence.
 
 Defined results: null text is empty and packs as its end id alone; a null doc_id
 is kept as null; repeated rows are packed once each; an empty table gives an empty
@@ -36,6 +40,8 @@ LENGTH = 1024
 END_ID = 0
 DIMS, BITS = 3, 10
 _COUNTS = 1024
+#: Bytes of text in a partition, about.
+PARTITION_BYTES = 32 << 20
 #: Bytes of text turned into vectors at a time.
 _CHUNK = 4_000_000
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -49,7 +55,9 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     """Hilbert keys of texts given as UTF-8."""
     sizes = np.array([len(t) for t in texts], np.int64)
     body = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
-    pairs = ((body[:-1].astype(np.uint32) * np.uint32(0x9E3B) + body[1:] * np.uint32(0x85EB)) >> np.uint32(3)) & np.uint32(_COUNTS - 1)
+    following = body[1:].copy()
+    following[np.cumsum(sizes)[sizes > 0] - 1] = 0  # a text's last byte pairs with 0, whatever text comes next
+    pairs = ((body[:-1].astype(np.uint32) * np.uint32(0x9E3B) + following * np.uint32(0x85EB)) >> np.uint32(3)) & np.uint32(_COUNTS - 1)
     owner = np.repeat(np.arange(len(texts)), sizes)
     counts = np.bincount(owner * _COUNTS + pairs, minlength=len(texts) * _COUNTS).reshape(len(texts), _COUNTS)
     share = np.sqrt(counts / np.maximum(sizes, 1)[:, None])
@@ -121,8 +129,9 @@ class Packer:
 def pack(df: DataFrame, *, doc: str = "doc_id", text: str = "text", json_path: str, rank_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
     """A row per piece, see SCHEMA; sequence ids are unique, offsets gapless in each sequence."""
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.select(F.col(doc).cast("long").alias("doc_id"), body.alias("text")).withColumn("_key", _keys("text")).withColumn("_tie", F.xxhash64("doc_id", "text"))
-    ordered = keyed.repartitionByRange("_key", "_tie").sortWithinPartitions("_key", "_tie", "doc_id").select("doc_id", "text")
+    size = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
+    keyed = df.select(F.col(doc).cast("long").alias("doc_id"), body.alias("text")).withColumn("_key", _keys("text")).withColumn("_tie", F.xxhash64("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())
+    ordered = keyed.repartitionByRange(1 + size // PARTITION_BYTES, "_key", "_tie", "_row").sortWithinPartitions("_key", "_tie", "doc_id").select("doc_id", "text")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -383,3 +383,18 @@ def test_language_scores_equal_brute_force(monkeypatch):
     monkeypatch.setattr(langid, "PIECE", 7)  # cuts inside every text
     monkeypatch.setattr(langid, "CELLS", 1)
     assert model.scores(asked) == pytest.approx(want, abs=1e-4)
+
+
+def test_curve_keys_do_not_depend_on_the_batch():
+    texts = [t.encode() for t in ("abc abc", "", "x", "abc abc", "zebra crossing", "abc abc", "é" * 50)]
+    together = packing.curve_keys(texts)
+    assert together[0] == together[3] == together[5]
+    assert all(packing.curve_keys([t])[0] == k for t, k in zip(texts, together))
+
+
+def test_special_strings_are_ordinary_text():
+    ranks = bpe.read_ranks(TOKENIZER["rank_path"])
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for t in ("a<|endoftext|>b", "日本<|endoftext|>語", "<|endoftext|>" * 3 + " x"):
+        assert tokens.encode(t, **TOKENIZER).tolist() == plain.encode_ordinary(t)
+    assert tokens.encode("a<|endoftext|>b", **TOKENIZER).tolist() == [64, 27, 91, 437, 1659, 5239, 91, 29, 65]
