@@ -5,9 +5,10 @@ surrounding context go through a small network: character embedding with a flag
 for candidate or context, one convolution, global maximum and mean pooling, one
 logistic output.  It is trained in numpy on labelled findings: generated ones of
 common secret formats and of harmless look-alikes, and candidates of a bounded
-sample of the corpus, those that a base pattern finds and those of letters only.  Platt scaling on findings
-kept aside calibrates it; the threshold is the largest that keeps RECALL of the
-positives kept aside.
+sample of the corpus, those that a base pattern finds and those of letters only.
+A fifth of the findings is kept aside: Platt scaling on one half of it calibrates the
+network, and the threshold is the largest that keeps RECALL of the positives of the
+other half that lie in no base span, for only such candidates are scored.
 
 The network only adds spans (kind ``cnn``); base spans stay as they are.  All
 offsets are code points.
@@ -43,6 +44,8 @@ LEFT, BODY, RIGHT = 20, 48, 8
 RECALL = 0.97
 #: Candidates of the corpus that the fit uses at most, and documents they are drawn from.
 FIT_CANDIDATES, FIT_DOCS = 3000, 2000
+#: Generated findings of the fit.
+GENERATED = 4000
 _WIDTH, _EMBED, _FILTERS = 5, 8, 24
 
 
@@ -149,8 +152,11 @@ class Net:
         return [d_embed, d_conv, d_z.sum((0, 1)), d_out]
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 8) -> Net:
-    """Train, calibrate and set the threshold; every fifth finding is kept aside."""
+def fit(x: np.ndarray, y: np.ndarray, covered: np.ndarray | None = None, epochs: int = 8) -> Net:
+    """Train, calibrate and set the threshold; every fifth finding is kept aside.
+
+    ``covered`` marks findings inside a base span, which never meet the threshold.
+    """
     net, rng = Net.fresh(), np.random.Generator(np.random.PCG64(4))
     order = rng.permutation(len(x))
     aside, own = order[::5], np.delete(order, slice(None, None, 5))
@@ -166,24 +172,32 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 8) -> Net:
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
                 p -= 0.01 * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-    raw, truth = net.logits(x[aside]), y[aside]
+    scaling, cut = aside[::2], aside[1::2]
+    raw, truth = net.logits(x[scaling]), y[scaling]
     a, b = 1.0, 0.0
     for _ in range(200):  # Platt scaling by gradient steps
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
         a -= 0.05 * float(((p - truth) * raw).mean())
         b -= 0.05 * float((p - truth).mean())
     net.scale = (max(a, 1e-3), b)
-    positive = np.sort(net.probability(x[aside][truth == 1]))
-    net.threshold = float(max(0.5, positive[int((1 - RECALL) * len(positive))])) if len(positive) else 1.0
+    alone = y[cut] == 1 if covered is None else (y[cut] == 1) & ~covered[cut]
+    positive = np.sort(net.probability(x[cut][alone]))
+    net.threshold = float(positive[int((1 - RECALL) * len(positive))]) if len(positive) else 1.0
     return net
 
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
-def generated_findings(count: int = 2400) -> tuple[list[np.ndarray], list[int]]:
+def generated_findings(count: int = GENERATED, seed: int = 6) -> tuple[list[np.ndarray], list[int]]:
     """Labelled findings of a fixed seed: secret formats (1) and harmless look-alikes (0) in context."""
-    rng = np.random.Generator(np.random.PCG64(6))
+    rows, labels, _ = _generated(count, seed)
+    return rows, labels
+
+
+def _generated(count: int, seed: int) -> tuple[list[np.ndarray], list[int], list[bool]]:
+    """Generated findings: windows, labels, and whether a base span holds the candidate."""
+    rng = np.random.Generator(np.random.PCG64(seed))
     draw = lambda alphabet, n: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
     between = lambda a, b: int(rng.integers(a, b + 1))
     every = _LOWER + _UPPER + _DIGIT
@@ -202,7 +216,7 @@ def generated_findings(count: int = 2400) -> tuple[list[np.ndarray], list[int]]:
         lambda: "".join((lambda s: s * between(4, 9))(draw(_LOWER, between(1, 4))).ljust(16, "a") for _ in range(1)), lambda: "2024-" + draw(_DIGIT, 2) + "-" + draw(_DIGIT, 2) + "T" + draw(_DIGIT, 2) + "-00-00.000",
         lambda: draw(_UPPER, between(16, 28)),
     ]
-    rows, labels = [], []
+    rows, labels, covered = [], [], []
     for i in range(count):
         y = i % 2
         make = (secret if y else harmless)[(i // 2) % len(secret if y else harmless)]
@@ -210,13 +224,18 @@ def generated_findings(count: int = 2400) -> tuple[list[np.ndarray], list[int]]:
         lead = " ".join(word() for _ in range(4)) + [" ", " = ", ": ", ' "', "\n", " key="][between(0, 5)]
         text = lead + body + [" ", "\n", '"', ". ", ""][between(0, 4)] + " ".join(word() for _ in range(3))
         got = windows(text, [(len(lead), len(lead) + len(body))])
-        rows += [w for _, w in got[:1]]
-        labels += [y] * len(got[:1])
-    return rows, labels
+        rows.append(got[0][1])
+        labels.append(y)
+        covered.append(_inside(len(lead), len(lead) + len(body), base_spans(text)))
+    return rows, labels, covered
+
+
+def _inside(start: int, stop: int, base: list[tuple[int, int, int]]) -> bool:
+    return any(a <= start and stop <= b for a, _, b in base)
 
 
 def _labelled(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
-    """Labelled candidates of texts: 1 where a base finding overlaps them, 0 where they are letters only.
+    """Labelled candidates of texts: 2 inside a base finding, 1 where one overlaps them, 0 where they are letters only.
 
     Other candidates may be secrets of an unknown format and stay unlabelled.
     """
@@ -228,7 +247,7 @@ def _labelled(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
             found = any(s < stop and e > start for s, _, e in base)
             if found or t[start:stop].isalpha():
                 rows.append(w)
-                labels.append(int(found))
+                labels.append(2 if _inside(start, stop, base) else int(found))
     return rows, labels
 
 
@@ -248,11 +267,12 @@ def train(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Net:
     drawn = df.where(F.col(text).isNotNull() & F.col(text).rlike(_RUN.pattern)).where(F.pmod(F.xxhash64(F.lit(9), doc, text), F.lit(1 << 30)) < share)
     cells = drawn.select(F.explode(cut(F.col(text))).alias("cell"))
     own = cells.orderBy(F.xxhash64("cell"), "cell").limit(FIT_CANDIDATES).collect()
-    rows, labels = generated_findings()
+    rows, labels, covered = _generated(GENERATED, 6)
     for r in own:
         rows.append(np.frombuffer(bytes(r[0][1:]), np.int8).reshape(2, -1))
-        labels.append(r[0][0])
-    return fit(np.stack(rows), np.array(labels, float))
+        labels.append(min(1, r[0][0]))
+        covered.append(r[0][0] == 2)
+    return fit(np.stack(rows), np.array(labels, float), np.array(covered, bool))
 
 
 def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: Net) -> list[list[tuple[int, int, int]]]:
@@ -260,7 +280,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: N
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     where, rows = [], []
     for i, (t, found) in enumerate(zip(texts, base)):
-        spans = [(s, e) for s, e in candidates(t) if not any(a <= s and e <= b for a, _, b in found)]
+        spans = [(s, e) for s, e in candidates(t) if not _inside(s, e, found)]
         for j, w in windows(t, spans):
             where.append((i, spans[j]))
             rows.append(w)
@@ -277,7 +297,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: N
 
 
 def scan(df: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
-    """``df`` with base_spans and spans: arrays of struct(start, kind, stop)."""
+    """``df`` with base_spans and spans: strings of kind:start:stop, sorted and comma-joined."""
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     @pandas_udf("base_spans string, spans string")
