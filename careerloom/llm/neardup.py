@@ -1,23 +1,27 @@
 """Near-duplicate classes by DartMinHash signatures and a banded join.
 
-Words are lower-cased runs of letters and digits; a document is its set of
-five-word shingles; documents of Jaccard similarity 0.8 or more are linked, and a
-class is a connected component of links.
+Words are lower-cased runs of letters and digits; a document is the multiset of its
+five-word shingles, a shingle's weight the number of times it occurs; documents of
+weighted Jaccard similarity (sum of the lesser weights over the sum of the greater
+ones) 0.8 or more are linked, and a class is a connected component of links.
 
 1. Texts with equal word sequences collapse into one node (map-side combined).
-2. DartMinHash signatures, cut into 24 bands of 5 coordinates: two documents at
-   0.8 share a band with probability 0.9999.
+2. Weighted DartMinHash signatures, cut into 24 bands of 5 coordinates: two documents
+   at 0.8 share a band with probability 0.9999.
 3. Within a band's bucket every member is paired with the bucket's hub, the member
-   that shares most buckets with others, and not with every other member.  Pairs whose signatures agree in too few coordinates to be at
-   0.8 (more than five standard deviations away) are dropped; all others are verified
-   with exact Jaccard similarities of their shingle sets.
+   that shares most buckets with others, and not with every other member.  Pairs whose
+   signatures agree in too few coordinates to be at 0.8 (more than five standard
+   deviations away, less than one such pair in ten million) are dropped; all others are
+   verified with exact similarities of their shingle multisets.  A hub of many pairs is
+   salted over BUSY pairs at a time, so no task builds all of them.
 4. Buckets whose members the verified links leave in different classes go through an
    exact prefix-filter join: two sets at 0.8 share one of the rarest fifth of their
-   shingles, so only nodes of different classes that do are compared.  No link between members of a bucket is lost,
-   although a bucket of n copies costs n pairs.
+   shingles (the n-th occurrence of a shingle counts as an element), so only nodes of
+   different classes that do are compared.  Members of a bucket that are linked end in
+   one class, although a bucket of n copies costs n pairs.
 
-Defined results: a text without a word (null or empty included) is a class of
-its own; a text of fewer than five words is one shingle; the class id is the
+Defined results: null, empty or blank text is a class of its own; a text of symbols
+only is in a class with its exact copies; a text of fewer than five words is one shingle; the class id is the
 smallest doc_id of the class (null only if all are null); repeated rows share a
 class; an empty table gives an empty result; other columns pass through.
 """
@@ -39,6 +43,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Buckets up to this size are compared in full at once.
 SMALL_BUCKET = 4
+#: Pairs of one node that a task joins at most, about.
+BUSY = 512
 #: Coordinates of 120 that two signatures must share: 0.6, where 0.8 has a deviation of 0.037.
 LEAST_AGREEING = int(0.6 * BANDS * ROWS)
 
@@ -51,8 +57,15 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _node(words: Column) -> Column:
-    return F.when(F.size(words) > 0, F.unhex(F.md5(F.array_join(words, " ").cast("binary"))))
+def _node(text: Column, words: Column) -> Column:
+    """16 bytes that stand for the text's words, or for the text itself where it has symbols only; null for blank text."""
+    marked = F.when(F.size(words) > 0, F.array_join(words, " ")).when(F.translate(text, " \t\n\x0b\f\r", "") != "", F.concat(F.lit("\0"), text))
+    return F.unhex(F.md5(marked.cast("binary")))
+
+
+def _node_of(text: Column) -> Column:
+    body = F.coalesce(text, F.lit(""))
+    return let(words_of(body), lambda w: _node(body, w))
 
 
 _SKETCH = T.StructType([T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
@@ -65,7 +78,8 @@ def _sketch(words: pd.Series) -> pd.DataFrame:
     some = [i for i, w in enumerate(words) if w is not None and len(w)]
     for at in range(0, len(some), 256):
         part = some[at : at + 256]
-        sig = dartminhash.signatures([dartminhash.shingles(words.iloc[i], SHINGLE) for i in part], BANDS * ROWS)
+        elements, weights = zip(*[np.unique(dartminhash.shingles(words.iloc[i], SHINGLE), return_counts=True) for i in part])
+        sig = dartminhash.signatures(elements, BANDS * ROWS, weights)
         short = (sig & np.uint64(0xFFFF)).astype("<u2")
         for i, b, x in zip(part, dartminhash.bands(sig, BANDS), short):
             bands[i], sigs[i] = b, x.tobytes()
@@ -81,8 +95,10 @@ def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    x, y = np.unique(dartminhash.shingles(a, SHINGLE)), np.unique(dartminhash.shingles(b, SHINGLE))
-    both = len(np.intersect1d(x, y, assume_unique=True))
+    x, y = dartminhash.shingles(a, SHINGLE), dartminhash.shingles(b, SHINGLE)
+    (u, cu), (v, cv) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
+    _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+    both = int(np.minimum(cu[i], cv[j]).sum())
     return both / (len(x) + len(y) - both)
 
 
@@ -91,13 +107,26 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def _beside(pairs: DataFrame, table: DataFrame, key: str, other: str, value: str) -> DataFrame:
+    """``pairs`` with column ``value`` of ``table`` (node, value) for node ``key``, named value + key.
+
+    A node of more than BUSY pairs is dealt over several keys and its row repeated for each.
+    """
+    busy = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BUSY).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    left = pairs.join(busy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(other), parts).cast("int")).drop("_parts")
+    named = table.select(F.col("node").alias(key), F.col(value).alias(value + key))
+    right = named.join(busy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) those at or above the similarity."""
-    sig = lambda n: nodes.select(F.col("node").alias(n), F.col("sig").alias(f"s{n}"))
-    near = pairs.join(sig("a"), "a").join(sig("b"), "b").where(_agreeing("sa", "sb") >= LEAST_AGREEING).select("a", "b")
-    text = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
-    joined = shared_table(near, "near").join(text("a"), "a").join(text("b"), "b").select("a", "b", _similarity(_hashes(words_of(F.col("ta"))), _hashes(words_of(F.col("tb")))).alias("s"))
-    return joined.where(F.col("s") >= SIMILARITY).select("a", "b")
+    signed = _beside(_beside(pairs, nodes, "a", "b", "sig"), nodes, "b", "a", "sig")
+    near = shared_table(signed.where(_agreeing("siga", "sigb") >= LEAST_AGREEING).select("a", "b"), "near")
+    joined = _beside(_beside(near, texts, "a", "b", "text"), texts, "b", "a", "text")
+    scored = joined.select("a", "b", _similarity(_hashes(words_of(F.col("texta"))), _hashes(words_of(F.col("textb")))).alias("s"))
+    return scored.where(F.col("s") >= SIMILARITY).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -112,13 +141,16 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return ranked.select("band", "h", F.col("node").alias("y")).join(hubs, ["band", "h"]).select("x", "y")
 
 
-def _shingles(text: Column) -> Column:
-    """Distinct five-word shingles as hashes, as SQL expressions."""
-    def cut(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(SHINGLE)]))
-        return F.array_distinct(F.when(F.size(w) >= SHINGLE, runs).otherwise(F.array(F.xxhash64(F.array_join(w, " ")))))
-
-    return let(words_of(text), cut)
+@pandas_udf(T.ArrayType(T.LongType()))
+def _elements(words: pd.Series) -> pd.Series:
+    """The n-th occurrence of each shingle as a hash: sets of these have the multisets' similarity."""
+    out = []
+    for w in words:
+        x = np.sort(dartminhash.shingles(w, SHINGLE))
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        nth = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+        out.append((x ^ dartminhash.mix(nth.astype(np.uint64))).view(np.int64))
+    return pd.Series(out, dtype=object)
 
 
 def _prefix_pairs(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -130,7 +162,7 @@ def _prefix_pairs(placed: DataFrame, nodes: DataFrame, texts: DataFrame) -> Data
     0.8 / 1.8 (n + m); near copies with too many own shingles fail here.
     """
     roots = placed.select("node", "root").distinct()
-    cut = shared_table(texts.join(roots, "node").select("node", "root", F.explode(_shingles(F.col("text"))).alias("g")), "shingles")
+    cut = shared_table(texts.join(roots, "node").select("node", "root", F.explode(_elements(_hashes(words_of(F.col("text"))))).alias("g")), "shingles")
     df = cut.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     # a shingle of one class stays in the order but cannot join two classes
     ranked = cut.join(df, "g").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("df", "g", (F.col("lo") != F.col("hi")).alias("apart")))).alias("x"))
@@ -170,19 +202,21 @@ def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
 
     n_links counts the verified links of the row's node that were needed.
     """
-    cut = df.select(F.col(doc).alias("doc_id"), let(words_of(F.coalesce(F.col(text), F.lit(""))), lambda w: F.struct(_node(w).alias("node"), _hashes(w).alias("hashes"))).alias("x"))
-    rows = shared_table(cut.select("doc_id", "x.node", _sketch("x.hashes").alias("k")).select("doc_id", "node", "k.bands", "k.sig"), "signatures")
-    nodes = shared_table(rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "nodes")
+    body = F.coalesce(F.col(text), F.lit(""))
+    cut = df.select(F.col(doc).alias("doc_id"), F.xxhash64(body).alias("raw"), let(words_of(body), lambda w: F.struct(_node(body, w).alias("node"), _hashes(w).alias("hashes"))).alias("x"))
+    rows = shared_table(cut.select("doc_id", "raw", "x.node", _sketch("x.hashes").alias("k")).select("doc_id", "raw", "node", "k.bands", "k.sig"), "signatures")
+    found = rows.where(F.col("node").isNotNull()).groupBy("node")
+    # the text comes from a row of the smallest doc_id, known by its hash: equal or null ids meet only their own text
+    nodes = shared_table(found.agg(F.min("doc_id").alias("first"), F.min_by("raw", F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("raw"), F.count(F.lit(1)).alias("copies"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "nodes")
     buckets = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     shared = buckets.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = shared_table(buckets.join(shared, ["band", "h"]), "members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"))
-    body = F.coalesce(F.col(text), F.lit(""))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("first").alias("doc_id"), "raw")
     texts = (
-        df.select(F.col(doc).alias("_doc"), body.alias("text"))
-        .join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")))
+        df.select(F.col(doc).alias("_doc"), F.xxhash64(body).alias("_raw"), body.alias("text"))
+        .join(wanted, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_raw") == F.col("raw")))
         # written so that it stays a filter: an equality of the two would become a join key, computed for every text
-        .where(F.array_contains(F.array(_node(words_of(F.col("text")))), F.col("node")))
+        .where(F.array_contains(F.array(_node_of(F.col("text"))), F.col("node")))
         .dropDuplicates(["node"])
         .select("node", "text")
     )
@@ -207,9 +241,9 @@ def keep_one(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataF
     node, own, first, times = (hidden(df, n) for n in ("_node", "_own", "_first", "_times"))
     heads = classes(df, doc=doc, text=text).where(F.col("node").isNotNull() & F.col("is_head") & F.col("doc_id").eqNullSafe(F.col("class_id")))
     wanted = heads.groupBy(F.col("node").alias(own)).agg(F.min("doc_id").alias(first), F.count(F.lit(1)).alias(times))
-    marked = df.withColumn(node, _node(words_of(F.coalesce(F.col(text), F.lit("")))))
-    wordless = marked.where(F.col(node).isNull())
+    marked = df.withColumn(node, _node_of(F.col(text)))
+    blank = marked.where(F.col(node).isNull())
     chosen = marked.join(wanted, (F.col(node) == F.col(own)) & F.col(doc).eqNullSafe(F.col(first)))
     once = chosen.where(F.col(times) == 1).select(*df.columns)
     repeated = chosen.where(F.col(times) > 1).dropDuplicates([node]).select(*df.columns)
-    return once.unionByName(repeated).unionByName(wordless.select(*df.columns))
+    return once.unionByName(repeated).unionByName(blank.select(*df.columns))

@@ -432,3 +432,33 @@ def test_secret_threshold_is_the_recall_quantile():
     order = np.random.Generator(np.random.PCG64(4)).permutation(len(x))[::5][1::2]
     p = net.probability(x[order][y[order] == 1])
     assert (p >= net.threshold).mean() >= secrets.RECALL and net.threshold < 0.5
+
+
+def test_near_duplicates_are_weighted_by_repeats(spark):
+    r = random.Random(6)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    refrain = words(30)
+    texts = [" ".join(refrain * 12 + words(20)) for _ in range(2)]  # alike by occurrences, not by distinct shingles
+    verse = words(60)
+    texts += [" ".join(verse), " ".join(verse * 3)]  # equal sets but for the seams, a third of the occurrences
+    texts += ["*** !!!", "*** !!!", "*** !!", " \t"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "***")] * 3, "doc_id long, text string")
+    got = {x.doc_id: (x.class_id, x.class_size) for x in neardup.classes(df).where("doc_id is not null").collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (2, 1), 3: (3, 1), 4: (4, 2), 5: (4, 2), 6: (6, 1), 7: (7, 1)}
+    assert neardup.keep_one(df).count() == 7
+
+
+def test_near_duplicates_of_busy_hubs_and_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUSY", 8)
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        w[r.randrange(200)] = f"x{r.random()}"
+        texts.append(" ".join(w))
+    other = [" ".join(f"o{i}n{j}" for j in range(50)) for i in range(20)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in other]  # one null id and one repeated id
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(x.class_size for x in got) == [1] * 20 + [60] * 60
+    assert neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 21
