@@ -462,3 +462,29 @@ def test_near_duplicates_of_busy_hubs_and_equal_ids(spark, monkeypatch):
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(x.class_size for x in got) == [1] * 20 + [60] * 60
     assert neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == 21
+
+
+def test_every_template_is_found_in_code_and_in_prose(spark):
+    code = "\n".join(f"def f{i}(a, b): return the value of a{i} in the list" for i in range(40))
+    rows = []
+    for name, text in licenses.TEMPLATES:
+        comment = "\n".join(f" * {line}" for line in text.split("\n"))
+        rows += [(name, f"/*\n{comment}\n */\n{code}"), (name, f"# Project\n\nIt counts words.\n\n## License\n\n" + text.replace("\n", "\n\n") + "\n\n## Authors\n\nTwo people.")]
+    got = licenses.scan(spark.createDataFrame(rows, "name string, text string").repartition(8)).collect()
+    assert len(got) == len(rows) and all(r.license == r.name and r.name in r.licenses and r.dice > 0.8 for r in got)
+
+
+def test_license_sql_knows_runs_of_lines(spark, tmp_path):
+    import duckdb
+
+    mit = max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len)
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0")
+    prose = "\n".join(f"row {i} of the table has a value of {i}" for i in range(60))
+    texts = [f"{prose}\n\n{mit}\n\n{prose}".replace(". ", ".\n"), prose, None, "", f"{prose}\n{gpl}".replace(", ", ",\n\n"), mit[:400] + "\n" + prose, "Released under\nthe MIT\nLicense.", "All rights\n\nreserved.\n" + prose]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_license_scan(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(queries.oracle_sql()["op2_license_scan"]).df().sort_values("doc_id")
+    assert got.astype(str).values.tolist() == want.astype(str).values.tolist()
+    assert [x for x in got.license if isinstance(x, str)] == ["MIT", "GPL-3.0", "MIT", "Proprietary"]
