@@ -123,16 +123,26 @@ def _license_sql() -> str:
     grams = """list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
     cut = r"""list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"""
     return rf"""
-WITH templates AS (SELECT name, {grams} AS grams FROM (SELECT name, {cut.format("body")} AS w FROM (VALUES {rows}) AS t(name, body))),
+WITH templates AS (SELECT name, {grams} AS grams, len(w) AS words FROM (SELECT name, {cut.format("body")} AS w FROM (VALUES {rows}) AS t(name, body))),
 units AS (
   SELECT DISTINCT doc_id, u FROM (
     SELECT doc_id, coalesce(text, '') AS u FROM documents
     UNION ALL SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents
     UNION ALL SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n[\x20\x09\r]*\n')) FROM documents)),
 cut AS (SELECT doc_id, {grams} AS grams FROM (SELECT doc_id, {cut.format("u")} AS w FROM units) WHERE len(w) > 1),
+whole AS (SELECT doc_id, w, {grams} AS grams FROM (SELECT doc_id, {cut.format("coalesce(text, '')")} AS w FROM documents) WHERE len(w) > 1),
+near AS (SELECT doc_id, t.* FROM whole d JOIN templates t ON len(d.grams) * 3 >= 2 * len(t.grams) WHERE len(list_intersect(d.grams, t.grams)) * 3 >= 2 * len(t.grams)),
+lines AS (
+  SELECT doc_id, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS after
+  FROM (SELECT doc_id, i, len({cut.format("l[i]")}) AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IN (SELECT doc_id FROM near))))),
+runs AS (
+  SELECT DISTINCT a.doc_id, t.name, t.grams, d.w[a.before + 1 : e.after] AS w
+  FROM near t JOIN whole d ON d.doc_id = t.doc_id JOIN lines a ON a.doc_id = t.doc_id JOIN lines e ON e.doc_id = t.doc_id AND e.after > a.before + 1 AND e.after - a.before <= {licenses.RUN} * t.words),
 scored AS (
   SELECT doc_id, name, 2.0 * len(list_intersect(c.grams, t.grams)) / (len(c.grams) + len(t.grams)) AS dice
-  FROM cut c JOIN templates t ON len(c.grams) * 3 >= 2 * len(t.grams) AND 2 * len(c.grams) <= 3 * len(t.grams)),
+  FROM cut c JOIN templates t ON len(c.grams) * 3 >= 2 * len(t.grams) AND 2 * len(c.grams) <= 3 * len(t.grams)
+  UNION ALL
+  SELECT doc_id, name, 2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams)) FROM (SELECT doc_id, name, grams, {grams} AS own FROM runs)),
 fits AS (SELECT doc_id, name, max(dice) AS dice FROM scored WHERE dice >= 0.8 GROUP BY doc_id, name),
 best AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses, first(name ORDER BY dice DESC, name) AS license, max(dice) AS dice FROM fits GROUP BY doc_id)
 SELECT d.doc_id, b.license, round(coalesce(b.dice, 0.0), 9)::DOUBLE AS dice, coalesce(b.licenses, '') AS licenses
