@@ -10,7 +10,8 @@ a second one evaluates just the rings whose bound still reaches it.
 
 Pivots come from a bounded sample (PIVOT_SAMPLE vectors); every row is indexed.
 Rings are cut into chunks of at most CHUNK_ROWS rows and queries into groups of
-QUERY_ROWS, and a task scores one group against one chunk in one matrix product.
+QUERY_ROWS, and a task scores one group against one chunk in one matrix product; a
+chunk is shipped only to the groups of which a query visits it.
 The ring table (pivots x rings rows at most) is all that reaches the driver.
 
 Defined results: vectors that are null or hold a null, NaN or infinity take no
@@ -38,7 +39,7 @@ CHUNK_ROWS, QUERY_ROWS = 8192, 2048
 #: A query's first round reads nearest rings until they hold this many rows.
 SEED_ROWS = 256
 _INDEX = "vec_id bigint, v array<bigint>, pivot int, dist double, slot bigint"
-_FOUND = "query_id bigint, vec_id bigint, score bigint, q array<bigint>"
+_FOUND = "query_id bigint, vec_id bigint, score bigint, qk bigint"
 
 
 def whole_components(vector: Column, scale: int = 1024) -> Column:
@@ -66,35 +67,40 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (p**2).sum(1)[None] - 2 * x @ p.T, 0))
 
 
-def _dense(vectors, dim: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dim))
+def _whole(vectors, dim: int) -> np.ndarray:
+    """Vectors as rows of 64-bit integers, padded with zeros."""
+    out = np.zeros((len(vectors), dim), np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
 
 
+def _dense(vectors, dim: int) -> np.ndarray:
+    return _whole(vectors, dim).astype(np.float64)
+
+
 def _raise_dim(x: np.ndarray, largest: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(largest - (x**2).sum(1), 0))])
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
-    if q.size and x.size and np.abs(q).max() * np.abs(x).max() * x.shape[1] < 2**53:
-        return (q @ x.T).astype(np.int64)
-    return q.astype(np.int64) @ x.T.astype(np.int64)
+    """Exact integer inner products: by floating point where every sum fits its 53 bits."""
+    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * x.shape[1] < 2**53:
+        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
+    return q @ x.T
 
 
 def _evaluate(k: int, dim: int):
     def run(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": [], "q": []}
+        out = {"query_id": [], "vec_id": [], "score": [], "qk": []}
         if len(queries) and len(rows):
             ids = rows["vec_id"].to_numpy(np.int64, na_value=np.iinfo(np.int64).max)
             order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], _dense(rows["v"].to_numpy()[order], dim)
+            ids, x = ids[order], _whole(rows["v"].to_numpy()[order], dim)
             for at in range(0, len(queries), 128):
                 part = queries.iloc[at : at + 128]
-                s = _scores(_dense(part["q"].to_numpy(), dim), x)
-                for qid, q, line in zip(part["query_id"], part["q"], s):
+                s = _scores(_whole(part["q"].to_numpy(), dim), x)
+                for qid, qk, line in zip(part["query_id"], part["qk"], s):
                     mine = np.flatnonzero(ids != qid)
                     line = line[mine]
                     if len(line) > k:
@@ -106,14 +112,14 @@ def _evaluate(k: int, dim: int):
                     out["query_id"] += [qid] * len(keep)
                     out["vec_id"] += ids[mine[keep]].tolist()
                     out["score"] += line[keep].tolist()
-                    out["q"] += [q] * len(keep)
-        return pd.DataFrame({**out, "q": pd.Series(out["q"], dtype=object)})
+                    out["qk"] += [qk] * len(keep)
+        return pd.DataFrame(out)
 
     return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    w = W.partitionBy("query_id", "q").orderBy(F.col("score").desc(), F.col("vec_id"))
+    w = W.partitionBy("query_id", "qk").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -145,11 +151,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     n_queries = queries.count()
     groups = max(1, math.ceil(n_queries / QUERY_ROWS))
     n_chunks = spark.createDataFrame([(p, r, c) for (p, r), c in chunks.items()], "pivot int, ring int, n_chunks int")
-    blocks = (
-        ringed.join(F.broadcast(n_chunks), ["pivot", "ring"])
-        .select("vec_id", "v", "pivot", "ring", (F.col("slot") % F.col("n_chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    )
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().withColumn("grp", F.pmod(F.xxhash64("query_id", "q"), F.lit(groups)).cast("int"))
+    blocks = ringed.join(F.broadcast(n_chunks), ["pivot", "ring"]).select("vec_id", "v", "pivot", "ring", (F.col("slot") % F.col("n_chunks")).cast("int").alias("chunk"))
+    own = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn("qk", F.xxhash64("q")).dropDuplicates(["query_id", "qk"])
+    asked = own.withColumn("grp", F.pmod(F.xxhash64("query_id", "qk"), F.lit(groups)).cast("int"))
     table = rings.sort_values(["pivot", "ring"]).reset_index(drop=True)
     near_pivot, lo, hi, size = table["pivot"].to_numpy(), table["lo"].to_numpy(), table["hi"].to_numpy(), table["n"].to_numpy()
     ring_no = table["ring"].to_numpy()
@@ -158,7 +162,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     def expand(batches: Iterator[pd.DataFrame], second: bool) -> Iterator[pd.DataFrame]:
         """The rings that each query visits in this round."""
         for b in batches:
-            out = {"query_id": [], "q": [], "grp": [], "pivot": [], "ring": [], "chunk": []}
+            out = {"query_id": [], "q": [], "qk": [], "grp": [], "pivot": [], "ring": [], "chunk": []}
             if len(b):
                 x = _dense(b["q"].to_numpy(), dim)
                 d = _distances(np.column_stack([x, np.zeros(len(x))]), pivots)[:, near_pivot]
@@ -176,18 +180,20 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                         visit = seed
                     for r in visit:
                         for c in range(chunks[int(near_pivot[r]), int(ring_no[r])]):
-                            for name, value in zip(out, (b["query_id"].iloc[i], b["q"].iloc[i], b["grp"].iloc[i], near_pivot[r], ring_no[r], c)):
+                            for name, value in zip(out, (b["query_id"].iloc[i], b["q"].iloc[i], b["qk"].iloc[i], b["grp"].iloc[i], near_pivot[r], ring_no[r], c)):
                                 out[name].append(value)
             yield pd.DataFrame({**out, "q": pd.Series(out["q"], dtype=object)})
 
-    plan = "query_id bigint, q array<bigint>, grp int, pivot int, ring int, chunk int"
+    plan = "query_id bigint, q array<bigint>, qk bigint, grp int, pivot int, ring int, chunk int"
     key = ["pivot", "ring", "chunk", "grp"]
 
-    def score(visits: DataFrame) -> DataFrame:
-        return visits.groupBy(*key).cogroup(blocks.groupBy(*key)).applyInPandas(_evaluate(k, dim), _FOUND)
+    def score(round_no: int, asking: DataFrame) -> DataFrame:
+        visits = shared_table(asking.mapInPandas(lambda it: expand(it, round_no == 2), plan), f"visits{round_no}")
+        # a chunk goes to the groups that visit it, and to no other
+        wanted = blocks.join(visits.select("pivot", "ring", "chunk", F.col("grp").alias("to")).distinct(), ["pivot", "ring", "chunk"])
+        return visits.groupBy(*key).cogroup(wanted.groupBy("pivot", "ring", "chunk", "to")).applyInPandas(_evaluate(k, dim), _FOUND)
 
-    first = shared_table(_best(score(asked.mapInPandas(lambda it: expand(it, False), plan)), k), "round1")
-    kth = first.where(F.col("rank") == k).select("query_id", "q", F.col("score").cast("double").alias("kth"))
-    then = asked.join(kth, ["query_id", "q"], "left").select("query_id", "q", "grp", "kth")
-    rest = score(then.mapInPandas(lambda it: expand(it, True), plan))
+    first = shared_table(_best(score(1, asked), k), "round1")
+    kth = first.where(F.col("rank") == k).select("query_id", "qk", F.col("score").cast("double").alias("kth"))
+    rest = score(2, asked.join(kth, ["query_id", "qk"], "left").select("query_id", "q", "qk", "grp", "kth"))
     return _best(first.drop("rank").unionByName(rest), k).select("query_id", "rank", "vec_id", "score")

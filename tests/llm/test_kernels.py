@@ -488,3 +488,16 @@ def test_license_sql_knows_runs_of_lines(spark, tmp_path):
     want = c.sql(queries.oracle_sql()["op2_license_scan"]).df().sort_values("doc_id")
     assert got.astype(str).values.tolist() == want.astype(str).values.tolist()
     assert [x for x in got.license if isinstance(x, str)] == ["MIT", "GPL-3.0", "MIT", "Proprietary"]
+
+
+def test_topk_is_exact_beyond_53_bits_and_with_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    monkeypatch.setattr(topk, "CHUNK_ROWS", 40)
+    rng = np.random.default_rng(8)
+    w = rng.integers(-(2**29), 2**29, (300, 4))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(w)], "vec_id long, v array<long>")
+    got = topk.top_k(v, v.where("vec_id % 10 = 0"), 5).collect()
+    for q in range(0, 300, 10):
+        s = [sum(int(a) * int(b) for a, b in zip(x, w[q])) for x in w]
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, s[i]) for i in want]
