@@ -9,7 +9,9 @@ Everything is a Spark expression: no shuffle is needed to assign shards.
 
 Defined results: a null key counts as the string ``\\N``; null text has zero
 bytes and crc32 0; repeated rows share a shard and take consecutive slots; an
-empty table gives an empty result; other columns pass through untouched.
+empty table gives an empty result.  ``shard_records`` passes other columns through,
+a column named like a result is replaced; ``number_slots`` returns the group, the
+identity and the slot alone, and no column name clashes with its own.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from careerloom.llm.shared import shared_table
+from careerloom.llm.shared import extended, shared_table
 
 #: Rows that one task numbers at a time.
 SLOT_BUCKET_ROWS = 50_000
+#: Equal rows that one task unfolds at a time; more are dealt over tasks.
+UNFOLD = 20_000
 _SPAN = float(2**52)
 
 
@@ -55,8 +59,8 @@ def rendezvous_shards(key: Column, weights: Sequence[float], *, grown: float | N
 def shard_records(df: DataFrame, key: str, weights: Sequence[float], *, grown: float | None = None) -> DataFrame:
     """``df`` with columns shard (and grown_shard)."""
     now, then = rendezvous_shards(F.col(key), weights, grown=grown)
-    out = df.withColumn("shard", now)
-    return out if then is None else out.withColumn("grown_shard", then)
+    fields = [now.alias("shard")] if then is None else [now.alias("shard"), then.alias("grown_shard")]
+    return extended(df, F.struct(*fields), ["shard"] if then is None else ["shard", "grown_shard"])
 
 
 def number_slots(df: DataFrame, group: str, identity: Sequence[str]) -> DataFrame:
@@ -67,19 +71,25 @@ def number_slots(df: DataFrame, group: str, identity: Sequence[str]) -> DataFram
     buckets of the hash range; a bucket's first slot is the prefix sum of the
     bucket counts, so no task sorts a whole group.
     """
-    names = [group, *identity]
-    order = _draw(F.concat_ws(":", *[_key(F.col(c)) for c in identity]))
-    counted = shared_table(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_x", order), "slots")
-    total = counted.agg(F.count(F.lit(1)), F.count_distinct(group)).first()
+    names = [f"c{i}" for i in range(1 + len(identity))]
+    group_, identity_ = names[0], names[1:]
+    plain = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip([group, *identity], names)])
+    order = _draw(F.concat_ws(":", *[_key(F.col(c)) for c in identity_]))
+    counted = shared_table(plain.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).withColumn("_x", order), "slots")
+    total = counted.agg(F.count(F.lit(1)), F.count_distinct(group_)).first()
     buckets = max(1, math.ceil(total[0] / max(1, total[1]) / SLOT_BUCKET_ROWS))
     bucketed = counted.withColumn("_b", F.floor(F.col("_x") / F.lit(_SPAN) * buckets).cast("int"))
-    sizes = bucketed.groupBy(group, "_b").agg(F.sum("_n").alias("_m"))
-    before = W.partitionBy(group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(group, "_b", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy(group, "_b").orderBy("_x", *[F.col(c).asc_nulls_first() for c in identity]).rowsBetween(W.unboundedPreceding, -1)
-    return (
+    sizes = bucketed.groupBy(group_, "_b").agg(F.sum("_n").alias("_m"))
+    before = W.partitionBy(group_).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col(group_).alias("_g"), F.col("_b").alias("_of"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(group_, "_b").orderBy("_x", *[F.col(c).asc_nulls_first() for c in identity_]).rowsBetween(W.unboundedPreceding, -1)
+    numbered = (
         bucketed.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(starts, [group, "_b"])
-        .withColumn("_at", F.col("_start") + F.col("_in"))
-        .select(*names, F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1)).alias("slot"))
+        .join(starts, F.col(group_).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_of")))
+        .select(*names, "_n", (F.col("_start") + F.col("_in")).alias("_at"))
     )
+    few = numbered.where(F.col("_n") <= UNFOLD).select(*names, "_at", (F.col("_at") + F.col("_n")).alias("_end"))
+    parts = numbered.where(F.col("_n") > UNFOLD).select(*names, F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("_n") - 1, F.lit(UNFOLD).cast("long"))).alias("_from"), (F.col("_at") + F.col("_n")).alias("_end"))
+    many = parts.select(*names, F.col("_from").alias("_at"), F.least("_end", F.col("_from") + UNFOLD).alias("_end")).repartition(group_, "_at")
+    slots = few.unionByName(many).select(*names, F.explode(F.sequence(F.col("_at"), F.col("_end") - 1)).alias("slot"))
+    return slots.select(*[F.col(n).alias(c) for n, c in zip(names, [group, *identity])], "slot")

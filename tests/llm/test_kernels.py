@@ -501,3 +501,13 @@ def test_topk_is_exact_beyond_53_bits_and_with_many_groups(spark, monkeypatch):
         s = [sum(int(a) * int(b) for a, b in zip(x, w[q])) for x in w]
         want = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(i, s[i]) for i in want]
+
+
+def test_slots_of_many_equal_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "UNFOLD", 100)
+    rows = [(0, "hot", 1)] * 1050 + [(0, f"k{i}", 2) for i in range(40)] + [(None, None, None)] * 3
+    got = sharding.number_slots(spark.createDataFrame(rows, "_b int, _at string, _n int"), "_b", ["_at", "_n"]).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.slot for r in got if r._b == 0) == list(range(1090)) and sorted(r.slot for r in got if r._b is None) == [0, 1, 2]
+    hot = sorted(r.slot for r in got if r._at == "hot")
+    assert hot == list(range(hot[0], hot[0] + 1050))
