@@ -1,7 +1,7 @@
 """Relational chat formatting with Spark expressions only.
 
 Turn structs of a conversation are collected and sorted, adjacent turns of one
-role are merged by an array fold into one block, and blocks are concatenated:
+role are merged into one block, and blocks are concatenated:
 
     <|start|>role<|sep|>text<|next|>text<|end|>
 
@@ -29,8 +29,8 @@ START, SEP, NEXT, END = "<|start|>", "<|sep|>", "<|next|>", "<|end|>"
 #: Strings with a meaning for a model, never to be forged by a text.
 CONTROL = (START, SEP, NEXT, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 LOSS_ROLE = "assistant"
-_BLOCKS = "array<struct<role:string,texts:array<string>>>"
-_FOLD = "struct<at:int,spans:array<struct<start:int,stop:int>>>"
+#: Cells of one running sum; the sums of such groups are added up in turn.
+_GROUP = 256
 
 
 def escape(text: Column) -> Column:
@@ -44,38 +44,51 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _opens(turns: Column, i: Column) -> Column:
+    """Whether the turn at ``i`` starts a block."""
+    return (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"])
+
+
 def _merge(turns: Column) -> Column:
-    """Adjacent turns of one role as one block with their texts in order."""
+    """Adjacent turns of one role as one block with their texts in order; each turn is copied once."""
+    firsts = F.filter(F.transform(turns, lambda _, i: i), lambda i: _opens(turns, i))
+
+    def blocks(at: Column) -> Column:
+        run = lambda first, j: F.slice(turns, first + 1, F.coalesce(F.get(at, j + 1), F.size(turns)) - first)
+        return F.transform(at, lambda first, j: F.struct(F.get(turns, first)["role"].alias("role"), F.transform(run(first, j), lambda t: t["text"]).alias("texts")))
+
+    return let(firsts, blocks)
+
+
+def _running(start: Column, widths: Column) -> Column:
+    """``start`` plus the sum of all widths before each place."""
+    grow = lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + w))
+    every = F.aggregate(widths, F.array(start), grow)
+    return F.slice(every, 1, F.size(widths))
 
-    def step(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["role"] == turn["role"])
-        grown = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts")))
-        fresh = F.array(F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts")))
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), grown)).otherwise(F.concat(done, fresh)).cast(_BLOCKS)
 
-    return F.aggregate(turns, F.array().cast(_BLOCKS), step)
+def _places(widths: Column) -> Column:
+    """Sum of all widths before each place, in groups, so that long lists are not copied for each element."""
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(widths) - 1), F.lit(_GROUP)), lambda at: F.slice(widths, at + 1, _GROUP))
 
+    def summed(g: Column) -> Column:
+        totals = F.transform(g, lambda x: F.aggregate(x, F.lit(0), lambda n, w: n + w))
+        return let(_running(F.lit(0), totals), lambda starts: F.flatten(F.transform(g, lambda x, i: _running(F.get(starts, i), x))))
 
-def _spans(blocks: Column) -> Column:
-    """Ranges of assistant texts in the formatted text; blocks hold escaped strings."""
-    width = {mark: len(mark) for mark in (START, SEP, NEXT, END)}
+    return let(groups, summed)
 
-    def text_step(role: Column):
-        def step(state: Column, text: Column) -> Column:
-            stop = state["at"] + F.length(text)
-            span = F.when(role == LOSS_ROLE, F.array(F.struct(state["at"].alias("start"), stop.alias("stop")))).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
-            return F.struct((stop + width[NEXT]).cast("int").alias("at"), F.concat(state["spans"], span).alias("spans")).cast(_FOLD)
 
-        return step
+def _spans(turns: Column) -> Column:
+    """Ranges of assistant texts in the formatted text; turns hold escaped strings."""
+    lead = lambda t, i: F.when(_opens(turns, i), F.length(t["role"]) + len(START) + len(SEP)).otherwise(0)
+    tail = lambda i: F.when((i + 1 < F.size(turns)) & ~_opens(turns, i + 1), len(NEXT)).otherwise(len(END))
+    widths = F.transform(turns, lambda t, i: lead(t, i) + F.length(t["text"]) + tail(i))
 
-    def block_step(state: Column, block: Column) -> Column:
-        opened = F.struct((state["at"] + width[START] + F.length(block["role"]) + width[SEP]).cast("int").alias("at"), state["spans"].alias("spans")).cast(_FOLD)
-        # the last text is followed by END instead of NEXT
-        return F.aggregate(block["texts"], opened, text_step(block["role"]), lambda s: F.struct((s["at"] - width[NEXT] + width[END]).cast("int").alias("at"), s["spans"].alias("spans")).cast(_FOLD))
+    def spans(at: Column) -> Column:
+        span = lambda t, i: F.struct((F.get(at, i) + lead(t, i)).alias("start"), (F.get(at, i) + lead(t, i) + F.length(t["text"])).alias("stop"))
+        return F.array_compact(F.transform(turns, lambda t, i: F.when(t["role"] == LOSS_ROLE, span(t, i))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")).cast(_FOLD)
-    return F.aggregate(blocks, zero, block_step)["spans"]
+    return let(let(widths, _places), spans)
 
 
 def format_conversations(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -83,12 +96,9 @@ def format_conversations(df: DataFrame, *, conv: str = "conv_id", turn: str = "t
     item = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     turns = df.groupBy(F.col(conv).alias("conv_id")).agg(F.sort_array(F.collect_list(item)).alias("turns"))
     safe = turns.withColumn("turns", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("role"), escape(t["text"]).alias("text"))))
-    blocks = safe.select("conv_id", _merge(F.col("turns")).alias("blocks"))
     block_text = lambda b: F.concat(F.lit(START), b["role"], F.lit(SEP), F.array_join(b["texts"], NEXT), F.lit(END))
-    return blocks.select(
-        "conv_id",
-        let(F.col("blocks"), lambda b: F.struct(F.array_join(F.transform(b, block_text), "").alias("formatted"), _spans(b).alias("loss_spans"))).alias("x"),
-    ).select("conv_id", "x.formatted", "x.loss_spans")
+    whole = lambda t: F.struct(F.array_join(F.transform(_merge(t), block_text), "").alias("formatted"), _spans(t).alias("loss_spans"))
+    return safe.select("conv_id", let(F.col("turns"), whole).alias("x")).select("conv_id", "x.formatted", "x.loss_spans")
 
 
 def parse_turns(formatted: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, dartminhash, langid, licenses, neardup, packing, quality, queries, secrets, sharding, tokens, topk
+from careerloom.llm import bpe, chat, dartminhash, langid, licenses, neardup, packing, quality, queries, secrets, sharding, tokens, topk
 from careerloom.llm.components import connected_components
 from careerloom.llm.hilbert import hilbert_key
 from careerloom.llm.queries import TOKENIZER
@@ -511,3 +511,18 @@ def test_slots_of_many_equal_rows_and_clashing_names(spark, monkeypatch):
     assert sorted(r.slot for r in got if r._b == 0) == list(range(1090)) and sorted(r.slot for r in got if r._b is None) == [0, 1, 2]
     hot = sorted(r.slot for r in got if r._at == "hot")
     assert hot == list(range(hot[0], hot[0] + 1050))
+
+
+def test_long_conversations_equal_a_plain_format(spark):
+    r = random.Random(12)
+    turns = [(r.choice(["user", "assistant", "assistant", "system"]), "".join(r.choice(["a", "é", "\\", "<|end|>", " "]) for _ in range(r.randrange(6)))) for _ in range(3000)]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    esc = lambda t: t.replace("\\", "\\\\").replace("<|end|>", "<\\|end|>")
+    out, spans, before = "", [], None
+    for role, text in turns:
+        out = f"{out}<|next|>" if role == before else f"{out}{'<|end|>' if before else ''}<|start|>{role}<|sep|>"
+        if role == "assistant":
+            spans.append((len(out), len(out) + len(esc(text))))
+        out, before = out + esc(text), role
+    got = chat.format_conversations(df).first()
+    assert got.formatted == out + "<|end|>" and [(s.start, s.stop) for s in got.loss_spans] == spans
