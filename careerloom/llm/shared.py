@@ -17,10 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Where the setting is absent (tests on one machine) a temporary folder is set.
+    On one machine (tests) a temporary folder stands in where the setting is absent; on
+    a cluster its absence is an error, for no machine's own folder is shared there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="careerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
