@@ -64,6 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of every document that all stages keep.
+
+    Null text and text without a letter leave in the language stage; repeated rows are
+    judged alike and near-dedup keeps one; an empty table gives an empty result; columns
+    beyond those of ``documents`` pass through to the packing stage, which drops them.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = shared_table(stage(spark, docs, sf_dir), name)
