@@ -41,6 +41,8 @@ from careerloom.llm.shared import extended
 
 UNKNOWN = "und"
 FIT_ROWS, FIT_CHARS, LANDMARKS = 2400, 20_000, 192
+#: Labels whose counts are broadcast.
+BROADCAST_LANGUAGES = 20_000
 BUCKETS = 1 << 18
 PIECE, CELLS = 1 << 19, 1 << 22
 RIDGE = 1e-3
@@ -210,11 +212,14 @@ def training_sample(df: DataFrame, *, doc: str, text: str, lang: str, rows: int
     """About ``rows`` labelled texts (text, lang, _rank), equally many a language, by hash order; long ones as a window."""
     labelled = df.where(F.col(lang).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     counts = labelled.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"))  # reads the labels alone
-    each = max(2, rows // max(1, counts.count()))
+    n_languages = counts.count()
+    each = max(2, rows // max(1, n_languages))
+    # a row a language: beside the texts where their number is checked, through a shuffle beyond it
+    known = counts.withColumnRenamed("_lang", "_of")
     drawn = (
         labelled.where(F.col("_text").rlike(r"\p{L}"))
         .withColumn("_draw", F.pmod(F.xxhash64(F.lit(5), "_doc", "_text"), F.lit(1 << 30)))
-        .join(counts.withColumnRenamed("_lang", "_of"), F.col("_lang") == F.col("_of"))
+        .join(F.broadcast(known) if n_languages <= BROADCAST_LANGUAGES else known, F.col("_lang") == F.col("_of"))
         # twice the wanted number on average: the exact cut follows on these few rows
         .where(F.col("_draw") * F.col("_n") < F.lit((2 * each + 8) * (1 << 30)))
     )
