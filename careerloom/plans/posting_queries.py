@@ -11,6 +11,7 @@ from careerloom.functions.draws import draw
 from careerloom.operators import export, metrics, ranking, relational, splits, trust
 from careerloom.operators.ordered import terciles
 from careerloom.plans.base import CUTOFF, POSTINGS, Registry, draw_sql, postings
+from careerloom.schemas import BOOTSTRAP
 from careerloom.sources.io import table
 
 query = Registry()
@@ -311,8 +312,8 @@ def q_paired_verdict(spark, sf_dir):
     return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], ranking.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
-_AUDIT = f"""{_BASE}, small AS (SELECT * FROM pred WHERE o_orderkey % 7 = 0), {_boot_sql('small', 'region', 'o_orderkey', 'abs(o_totalprice - pred)', 100)},
-fit AS (SELECT region AS g, 1 - sum((o_totalprice - pred) ** 2) / (sum(o_totalprice ** 2) - sum(o_totalprice) ** 2 / count(*)) AS r2 FROM small GROUP BY 1), audit AS (SELECT g, n, mean, lo, hi, r2 FROM ci JOIN fit USING (g) WHERE n >= 20)"""
+_AUDIT = f"""{_BASE}, {_boot_sql('pred', 'region', 'o_orderkey', 'abs(o_totalprice - pred)', 100)},
+fit AS (SELECT region AS g, 1 - sum((o_totalprice - pred) ** 2) / (sum(o_totalprice ** 2) - sum(o_totalprice) ** 2 / count(*)) AS r2 FROM pred GROUP BY 1), audit AS (SELECT g, n, mean, lo, hi, r2 FROM ci JOIN fit USING (g) WHERE n >= 20)"""
 
 
 def _audit(spark, sf_dir) -> DataFrame:
@@ -342,6 +343,52 @@ def q_grouped_cls_audit(spark, sf_dir):
     return out.select("group", "n", *[F.round(c, 6).alias(c) for c in ("metric", "lo", "hi", "macro_f1")])
 
 
+def _poisson_sql(source: str, by: str, key: str, value: str) -> str:
+    often = " + ".join(f"(u >= '{x}')::INT" for x in trust.poisson_steps())
+    return f"""o AS (SELECT {by} AS g, {key} AS k, ({value})::DOUBLE AS v FROM {source} WHERE ({value}) IS NOT NULL),
+z AS (SELECT g, count(*) AS n, avg(v) AS mean FROM o GROUP BY g),
+digests AS (SELECT g, v, j, md5(concat_ws(':', '42', j::VARCHAR, k::VARCHAR)) AS h FROM o, range({(BOOTSTRAP + 7) // 8}) AS r(j)),
+picks AS (SELECT g, v, 8 * j + c AS b, {often} AS w FROM (SELECT g, v, j, c, substr(h, (4 * c + 1)::INT, 4) AS u FROM digests, range(8) AS s(c))),
+reps AS (SELECT g, b, sum(w * v) / nullif(sum(w), 0) AS m FROM picks WHERE b < {BOOTSTRAP} GROUP BY g, b),
+ends AS (SELECT g, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps GROUP BY g),
+ci AS (SELECT g, n, mean, lo, hi FROM z JOIN ends USING (g))"""
+
+
+@query(f"WITH {_LABELS}, {_poisson_sql('lab', 'lang', 'doc_id', 'conf')} SELECT g AS lang, n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM ci")
+def q_bootstrap_full(spark, sf_dir):
+    """T19 with all 2,000 draws, in one pass."""
+    return trust.poisson_ci(_labels(spark, sf_dir), ["lang"], "doc_id", "conf").select("lang", "n", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")])
+
+
+@query(f"WITH {_LABELS}, d AS (SELECT doc_id, 'all' AS one, conf - {draw_sql('other', 'doc_id')} % 1000 / 1000.0 AS diff FROM lab), {_poisson_sql('d', 'one', 'doc_id', 'diff')} SELECT round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo > 0 THEN 'win' WHEN hi < 0 THEN 'lose' ELSE 'not established' END AS verdict FROM ci")
+def q_paired_full(spark, sf_dir):
+    """J11, E17 with all 2,000 draws, in one pass."""
+    lab = _labels(spark, sf_dir)
+    a, b = lab.select("doc_id", F.col("conf").alias("m")), lab.select("doc_id", ((draw("doc_id", salt="other") % 1000) / 1000.0).alias("m"))
+    out = trust.poisson_ci(ranking.paired(a, b, "doc_id", "m").withColumn("one", F.lit("all")), ["one"], "doc_id", "diff")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], ranking.verdict(F.col("lo"), F.col("hi")).alias("verdict"))
+
+
+_AUDIT_FULL = f"""{_BASE}, {_poisson_sql('pred', 'region', 'o_orderkey', 'abs(o_totalprice - pred)')},
+fit AS (SELECT region AS g, 1 - sum((o_totalprice - pred) ** 2) / (sum(o_totalprice ** 2) - sum(o_totalprice) ** 2 / count(*)) AS r2 FROM pred GROUP BY 1), audit AS (SELECT g, n, mean, lo, hi, r2 FROM ci JOIN fit USING (g) WHERE n >= 20)"""
+
+
+@query(f"WITH {_AUDIT_FULL}, b AS (SELECT * FROM audit ORDER BY mean, g LIMIT 1), w AS (SELECT * FROM audit ORDER BY mean DESC, g LIMIT 1) SELECT a.g AS \"group\", a.n, round(a.mean, 4) AS metric, round(a.lo, 4) AS lo, round(a.hi, 4) AS hi, round(a.r2, 6) AS r2, a.g = b.g AS best, a.g = w.g AS worst, NOT (b.lo > w.hi OR w.lo > b.hi) AS overlap FROM audit a, b, w")
+def q_audit_full(spark, sf_dir):
+    """E20, E22, M13 with all 2,000 draws, in one pass: every region's error, and how far the best and the worst are apart."""
+    audit = trust.regression_audit(_predicted(spark, sf_dir), "region", "o_orderkey", "o_totalprice", "pred", interval=trust.poisson_ci)
+    apart = trust.disparity(audit, higher_is_better=False).select(F.col("best").alias("_b"), F.col("worst").alias("_w"), "overlap")
+    rows = audit.crossJoin(F.broadcast(apart))
+    return rows.select("group", "n", *[F.round(c, 4).alias(c) for c in ("metric", "lo", "hi")], F.round("r2", 6).alias("r2"), (F.col("group") == F.col("_b")).alias("best"), (F.col("group") == F.col("_w")).alias("worst"), "overlap")
+
+
+@query(f"""WITH {_LABELS}, {_poisson_sql('lab', 'lang', 'doc_id', '(quality = pred)::INT')}, t AS (SELECT lang AS g, quality AS l, count(*) AS s, count(*) FILTER (quality = pred) AS tp FROM lab GROUP BY ALL), p AS (SELECT lang AS g, pred AS l, count(*) AS n FROM lab GROUP BY ALL),
+f AS (SELECT g, avg(2.0 * coalesce(tp, 0) / (coalesce(s, 0) + coalesce(n, 0))) AS macro_f1 FROM t FULL JOIN p USING (g, l) GROUP BY g)
+SELECT g AS "group", n, round(mean, 6) AS metric, round(lo, 6) AS lo, round(hi, 6) AS hi, round(macro_f1, 6)::DOUBLE AS macro_f1 FROM ci JOIN f USING (g) WHERE n >= 8""")
+def q_cls_audit_full(spark, sf_dir):
+    """E21, E23 with all 2,000 draws, in one pass."""
+    out = trust.classification_audit(_labels(spark, sf_dir), "lang", "doc_id", "quality", "pred", interval=trust.poisson_ci)
+    return out.select("group", "n", *[F.round(c, 6).alias(c) for c in ("metric", "lo", "hi", "macro_f1")])
 
 
 @query(f"""WITH {_LABELS}, e AS (SELECT min(conf) AS lo, max(conf) AS hi FROM lab), c AS (SELECT CASE WHEN hi > lo THEN least(floor((conf - lo) / (hi - lo) * 10), 9) ELSE 0 END AS b, quality AS l FROM lab, e),
