@@ -23,9 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (M5: one configured root)."""
+    """A fresh path in the folder that driver and executors share (M5: one configured root).
+
+    A session on one machine without that setting gets a temporary folder; a cluster has to name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="careerloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/careerloom-{name}-{uuid.uuid4().hex}"
