@@ -148,6 +148,36 @@ def calibrate_ovr(train: DataFrame, rows: DataFrame, n_classes: int, label: str)
     return out.withColumn("calibrated", cells).drop(*[f"_c{c}" for c in range(n_classes)])
 
 
+def calibrate_platt(train: DataFrame, rows: DataFrame, n_classes: int, label: str) -> DataFrame:
+    """Logistic calibration class by class over ``proba``, then scaled to sum to 1."""
+    out = rows.drop("prediction")
+    for c in range(n_classes):
+        fit = platt(train.select(F.get("proba", F.lit(c)).alias("s"), (F.col(label) == c).cast("double").alias("y")), "s", "y")
+        scored = fit.transform(assemble(out.withColumn("s", F.get("proba", F.lit(c))), ["s"]))
+        out = scored.withColumn(f"_c{c}", F.get(vector_to_array("p"), F.lit(1))).drop("s", "features", "rawPrediction", "p", "prediction")
+    total = sum(F.col(f"_c{c}") for c in range(n_classes))
+    return out.withColumn("calibrated", F.array(*[F.col(f"_c{c}") / total for c in range(n_classes)])).drop(*[f"_c{c}" for c in range(n_classes)])
+
+
+def calibrated_out_of_fold(df: DataFrame, make: Callable, key: str, label: str, n_classes: int, *, folds: int = 5, inner: int = 3) -> DataFrame:
+    """(key, label, method, proba) with method raw, sigmoid or isotonic, each row by models that never saw it.
+
+    Inside the training part of each fold, ``inner`` folds give out-of-fold
+    probabilities; the maps are fitted on those, and applied to the held-out rows.
+    """
+    out = None
+    for f in range(folds):
+        own = df.where(F.col("fold") != f).withColumn("fold", (draw(key, salt=f"inner{f}") % inner).cast("int"))
+        seen = out_of_fold(own, make, key, label, inner)
+        raw = make().fit(own).transform(df.where(F.col("fold") == f)).select(key, label, vector_to_array("probability").alias("proba"))
+        parts = [raw.select(key, label, F.lit("raw").alias("method"), "proba")]
+        for method, calibrate in (("sigmoid", calibrate_platt), ("isotonic", calibrate_ovr)):
+            parts.append(calibrate(seen, raw, n_classes, label).select(key, label, F.lit(method).alias("method"), F.col("calibrated").alias("proba")))
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def smote(df: DataFrame, features: Sequence[str], label: str, key: str, *, k: int = 3, most: int = 20_000) -> DataFrame:
     """The smaller classes filled up to the largest with points between a row and one of its k nearest.
 

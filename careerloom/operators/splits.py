@@ -18,11 +18,23 @@ def _rank(by: Sequence[str], keys: Sequence[str], salt: str) -> tuple[Column, Co
 
 
 def stratified(df: DataFrame, keys: Sequence[str], stratum: str, fraction: float = HOLDOUT, salt: str = "42") -> DataFrame:
-    """The first round(fraction * n) of each stratum by hash are test; a singleton trains."""
+    """The first round(fraction * n) of each stratum by hash are test; a singleton trains."""
     r, n = _rank([stratum], keys, salt)
     return df.withColumn("split", F.when((n > 1) & (r <= F.floor(n * fraction + 0.5)), "test").otherwise("train"))
 
 
+def random_split(df: DataFrame, keys: Sequence[str], fraction: float = HOLDOUT, salt: str = "42") -> DataFrame:
+    """Every row tests with the given probability, by its own hash; nothing is shuffled."""
+    return df.withColumn("split", F.when(draw(*keys, salt=salt) < int(fraction * 2**32), "test").otherwise("train"))
+
+
+def with_validation(df: DataFrame, keys: Sequence[str], stratum: str, fraction: float = HOLDOUT) -> DataFrame:
+    """A stratified test part, and the same fraction of what trains as validation."""
+    outer = stratified(df, keys, stratum, fraction)
+    inner = stratified(outer.where("split = 'train'").drop("split"), keys, stratum, fraction, salt="inner")
+    return outer.where("split = 'test'").unionByName(inner.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train")))
+
+
 def folds(df: DataFrame, keys: Sequence[str], stratum: str, k: int = FOLDS, salt: str = "42") -> DataFrame:
     """Stratified folds 0..k-1."""
     r, _ = _rank([stratum], keys, salt)

@@ -109,6 +109,49 @@ def random_projection(features: DataFrame, doc: str, dims: int = 64) -> DataFram
     return sums.withColumn("_l", length).select(doc, F.when(F.col("_l") > 0, F.transform("v", lambda x: x / F.col("_l"))).otherwise(F.col("v")).alias("v"))
 
 
+def svd_embedding(features: DataFrame, doc: str, *, dims: int = 1024, k: int = 192) -> DataFrame:
+    """Unit rows in the space of the k largest singular vectors of the hashed TF-IDF matrix.
+
+    The Gram matrix of ``dims`` columns is summed over partitions, so its size is fixed; its
+    eigenvectors are the right singular vectors, and rows are projected where they lie.
+    """
+    rows = features.select(doc, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), "weight").groupBy(doc).agg(F.collect_list(F.struct("i", "weight")).alias("x"))
+
+    def dense(cells) -> np.ndarray:
+        out = np.zeros((len(cells), dims))
+        for n, row in enumerate(cells):
+            for c in row:
+                out[n, c["i"]] += c["weight"]
+        return out
+
+    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((dims, dims))
+        for b in batches:
+            for at in range(0, len(b), 512):
+                x = dense(b["x"].iloc[at : at + 512])
+                total += x.T @ x
+        yield pd.DataFrame({"row": np.arange(dims), "g": list(total)})
+
+    parts = rows.select("x").mapInPandas(gram, "row int, g array<double>")
+    sums = parts.select("row", F.posexplode("g").alias("col", "g")).where("g <> 0").groupBy("row", "col").agg(F.sum("g").alias("g")).toPandas()  # dims x dims cells at most
+    whole = np.zeros((dims, dims))
+    whole[sums["row"], sums["col"]] = sums["g"]
+    value, vector = np.linalg.eigh((whole + whole.T) / 2)
+    keep = np.argsort(-value, kind="stable")[:k]
+    basis = vector[:, keep] * np.sign(vector[np.abs(vector[:, keep]).argmax(0), keep])
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 512):
+                part = b.iloc[at : at + 512]
+                v = dense(part["x"]) @ basis
+                length = np.linalg.norm(v, axis=1, keepdims=True)
+                yield pd.DataFrame({doc: part[doc], "v": list(v / np.where(length > 0, length, 1))})
+
+    kind = dict(features.dtypes)[doc]
+    return rows.mapInPandas(project, f"{doc} {kind}, v array<double>")
+
+
 def best_sentence(sentences: DataFrame, skills: DataFrame, doc: str) -> DataFrame:
     """The largest cosine of any of a document's sentences with each skill's vector."""
     s = skills.select("skill", F.col("v").alias("sv"))

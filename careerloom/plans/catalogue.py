@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from careerloom.plans import model_queries, posting_queries, rating_queries, text_queries
+from careerloom.plans import model_queries, posting_queries, protocol_queries, rating_queries, text_queries
 
-MODULES: tuple = (rating_queries, posting_queries, text_queries, model_queries)
+MODULES: tuple = (rating_queries, posting_queries, text_queries, protocol_queries, model_queries)
 
 
 def queries() -> dict:

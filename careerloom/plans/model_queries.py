@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.operators import factor, learn, metrics, ranking, recommend, splits, textops
+from careerloom.functions.columns import LANGUAGE_WORDS
+from careerloom.operators import factor, learn, metrics, ranking, recommend, relational, splits, textops
 from careerloom.plans.base import CUTOFF, Registry, postings, ratings
-from careerloom.sources.io import table
+from careerloom.sources.io import scratch, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -20,7 +21,7 @@ def _cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def _report(spark, sf_dir, models) -> DataFrame:
     train, test = _cells(spark, sf_dir)
-    scores = factor.score_models(train, models, k=16, epochs=30)
+    scores = factor.score_models(train, models)
     out = None
     rows = scores.join(test, ["occ", "item"]).withColumn("rel", (F.col("rating") >= 4).cast("int"))
     for m in models:
@@ -32,7 +33,7 @@ def _report(spark, sf_dir, models) -> DataFrame:
 
 @query()
 def q_mf(spark, sf_dir):
-    """Biased factorisation with and without item bias, by descriptor."""
+    """Biased factorisation with and without item bias, by descriptor."""
     return _report(spark, sf_dir, ["mf", "mf_no_bi"])
 
 
@@ -46,25 +47,38 @@ def q_bpr(spark, sf_dir):
 def q_node2vec(spark, sf_dir):
     """R11"""
     train, test = _cells(spark, sf_dir)
-    s = factor.score_models(train, ["node2vec"], k=16, walks=3, length=20, epochs=1)
+    s = factor.score_models(train, ["node2vec"])
     rows = s.join(test, ["occ", "item"]).withColumn("rel", (F.col("rating") >= 4).cast("int"))
     return ranking.report(ranking.per_group(rows, "item", "occ", "score", "rel", "rating"))
 
 
+@query()
+def q_mf_wrappers(spark, sf_dir):
+    """The dense wrapper (64 factors) and the positives-only market wrapper (32), both with penalty 0.02."""
+    train, test = _cells(spark, sf_dir)
+    positive = train.where("rating >= 1")
+    parts = []
+    for name, cells, k, epochs in (("dense", train, 64, 300), ("market", positive, 32, 200)):
+        scores = factor.score_models(cells, ["mf"], k=k, epochs=epochs, reg=0.02)
+        rows = test.join(scores, ["occ", "item"]).withColumn("rel", (F.col("rating") >= 4).cast("int"))
+        parts.append(ranking.report(ranking.per_group(rows, "occ", "item", "score", "rel", "rating")).withColumn("model", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
 @query()
 def q_foldin(spark, sf_dir):
-    """Every occupation's profile folded into the factors; ratings of every descriptor."""
+    """Every occupation's profile folded into the factors; ratings of every descriptor."""
     train, _ = _cells(spark, sf_dir)
-    model = factor.factors(train, k=16, epochs=30)
+    model = factor.factors(train)
     profiles = ratings(spark, sf_dir).where("rating >= 3").select(F.col("occ").cast("string").alias("user"), "item", "rating")
     return factor.reconstruct(model, factor.fold_in(model, profiles)).select("user", "item", F.round("rating", 4).alias("rating"))
 
 
 @query()
 def q_lambda_sweep(spark, sf_dir):
-    """Test error over latent size and regularisation."""
+    """Test error and P@10 over latent size and penalty."""
     train, test = _cells(spark, sf_dir)
-    return factor.sweep(train, test, {"k": [8, 16], "reg": [0.02, 0.1], "epochs": [15]}).select("params", F.round("rmse", 4).alias("rmse"))
+    return factor.sweep(train, test, {"k": [8, 16, 32, 64], "reg": [0.02, 0.1]}).select("params", F.round("rmse", 4).alias("rmse"), F.round("p_10", 4).alias("p_10"))
 
 
 @query()
@@ -79,67 +93,88 @@ def q_ladder(spark, sf_dir):
     return out
 
 
-_FEATURES = ["n_chars", "n_words", "n_lines", "n_symbols"]
+_FEATURES = ["n_chars", "n_words", "n_distinct", "n_lines", "n_symbols", "n_digits", "n_capitals", "word_length", "longest_line", "source_count", "source_chars", "lang_chars"]
 
 
 def outlook_features(spark, sf_dir) -> DataFrame:
-    """M6, P10: one feature frame for the outlook task (quality of documents stands in)."""
+    """The frame of twelve features for the outlook task (quality of documents stands in).
+
+    Written once to the shared folder: every fit reads it again.
+    """
     lab = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.log1p(F.length("text")).alias("n_chars"), F.log1p(F.size(F.split("text", " "))).alias("n_words"), F.log1p(F.size(F.split("text", "\n"))).alias("n_lines"), F.log1p(F.length(F.regexp_replace("text", r"[\w\s]", ""))).alias("n_symbols"))
-    return splits.folds(lab.join(d, "doc_id"), ["doc_id"], "y")
+    count = lambda pattern: F.log1p(F.length(F.regexp_replace("text", pattern, "")))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.log1p(F.length("text")).alias("n_chars"), F.split("text", " ").alias("_w"), F.split("text", "\n").alias("_l"))
+    own = d.select(
+        "doc_id", "source", "lang", "n_chars", F.log1p(F.size("_w")).alias("n_words"), F.log1p(F.size(F.array_distinct("_w"))).alias("n_distinct"), F.log1p(F.size("_l")).alias("n_lines"),
+        count(r"[\w\s]").alias("n_symbols"), count(r"[^0-9]").alias("n_digits"), count(r"[^A-Z]").alias("n_capitals"), (F.length("text") / F.size("_w")).alias("word_length"),
+        F.log1p(F.array_max(F.transform("_l", lambda x: F.length(x)))).alias("longest_line"),
+    )
+    by_source = own.groupBy("source").agg(F.log1p(F.count(F.lit(1))).alias("source_count"), F.avg("n_chars").alias("source_chars"))
+    by_lang = own.groupBy("lang").agg(F.avg("n_chars").alias("lang_chars"))
+    joined = lab.join(own, "doc_id").join(by_source, "source", "left").join(by_lang, "lang", "left").select("doc_id", "y", *_FEATURES)
+    rows = splits.folds(relational.fill_median(joined, _FEATURES), ["doc_id"], "y")
+    path = scratch(spark, "features")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
-def _three_folds(df: DataFrame) -> DataFrame:
-    return df.withColumn("fold", F.col("fold") % 3)
+def _rows(spark, sf_dir) -> DataFrame:
+    return learn.assemble(outlook_features(spark, sf_dir), _FEATURES)
+
+
+#: Trees and depth of the tuned forest.
+_TREES, _DEPTH = 400, 6
 
 
 @query()
 def q_rf(spark, sf_dir):
-    """Balanced forest out of fold."""
-    rows = _three_folds(learn.class_weights(learn.assemble(outlook_features(spark, sf_dir), _FEATURES), "y"))
-    preds = learn.out_of_fold(rows, lambda: learn.classifier("rf", "y", weight="weight", trees=20), "doc_id", "y", folds=3)
+    """Balanced forest, out of five folds."""
+    rows = learn.class_weights(_rows(spark, sf_dir), "y")
+    preds = learn.out_of_fold(rows, lambda: learn.classifier("rf", "y", weight="weight", trees=_TREES, depth=_DEPTH), "doc_id", "y")
     return metrics.classification_report(preds, "y", "prediction")
 
 
 @query()
 def q_logreg(spark, sf_dir):
     """L1, L2"""
-    rows = _three_folds(learn.assemble(outlook_features(spark, sf_dir), _FEATURES))
-    return metrics.classification_report(learn.out_of_fold(rows, lambda: learn.classifier("logreg", "y"), "doc_id", "y", folds=3), "y", "prediction")
+    return metrics.classification_report(learn.out_of_fold(_rows(spark, sf_dir), lambda: learn.classifier("logreg", "y"), "doc_id", "y"), "y", "prediction")
 
 
 @query()
 def q_gbt(spark, sf_dir):
     """L4"""
-    rows = _three_folds(learn.assemble(outlook_features(spark, sf_dir), _FEATURES))
-    return metrics.classification_report(learn.out_of_fold(rows, lambda: learn.classifier("gbt", "y", iters=5), "doc_id", "y", folds=3), "y", "prediction")
+    return metrics.classification_report(learn.out_of_fold(_rows(spark, sf_dir), lambda: learn.classifier("gbt", "y", iters=20), "doc_id", "y"), "y", "prediction")
 
 
 @query()
 def q_mlp(spark, sf_dir):
     """L5"""
-    rows = _three_folds(learn.assemble(outlook_features(spark, sf_dir), _FEATURES))
-    return metrics.classification_report(learn.out_of_fold(rows, lambda: learn.classifier("mlp", "y", n_features=len(_FEATURES), iters=30), "doc_id", "y", folds=3), "y", "prediction")
+    return metrics.classification_report(learn.out_of_fold(_rows(spark, sf_dir), lambda: learn.classifier("mlp", "y", n_features=len(_FEATURES), iters=200), "doc_id", "y"), "y", "prediction")
 
 
 @query()
 def q_grid_search(spark, sf_dir):
-    """Macro F1 of two depths."""
-    rows = _three_folds(learn.assemble(outlook_features(spark, sf_dir), _FEATURES))
-    found = learn.grid_search(rows, lambda depth: learn.classifier("rf", "y", trees=10, depth=depth), [{"depth": 3}, {"depth": 6}], "doc_id", "y", folds=3)
+    """Macro F1 of depth and leaf size over five folds."""
+    found = learn.grid_search(_rows(spark, sf_dir), lambda depth, leaf: learn.classifier("rf", "y", trees=50, depth=depth, leaf=leaf), [{"depth": d, "leaf": n} for d in (3, 6) for n in (1, 5)], "doc_id", "y")
     return spark.createDataFrame([(str(p), v) for p, v in found], "params string, macro_f1 double")
 
 
 @query()
 def q_calibrated(spark, sf_dir):
-    """Isotonic calibration of out-of-fold probabilities; ECE before and after."""
-    rows = _three_folds(learn.assemble(outlook_features(spark, sf_dir), _FEATURES))
-    preds = learn.out_of_fold(rows, lambda: learn.classifier("rf", "y", trees=20), "doc_id", "y", folds=3)
-    after = learn.calibrate_ovr(preds, preds, 2, "y")
-    conf = lambda c: F.array_max(c)
-    hit = lambda c: (F.array_position(c, F.array_max(c)) - 1) == F.col("y")
-    before = metrics.ece(preds.select(conf("proba").alias("c"), hit("proba").alias("k")), "c", "k").withColumn("kind", F.lit("raw"))
-    return before.unionByName(metrics.ece(after.select(conf("calibrated").alias("c"), hit("calibrated").alias("k")), "c", "k").withColumn("kind", F.lit("isotonic")))
+    """Raw, sigmoid and isotonic probabilities of rows that neither model nor map has seen; the lowest ECE is chosen."""
+    rows = learn.calibrated_out_of_fold(_rows(spark, sf_dir), lambda: learn.classifier("rf", "y", trees=50), "doc_id", "y", 2)
+    path = scratch(spark, "calibrated")
+    rows.write.parquet(path)
+    back = spark.read.schema(rows.schema).parquet(path)
+    top = F.array_max("proba")
+    out = None
+    for method in ("raw", "sigmoid", "isotonic"):
+        some = back.where(F.col("method") == method)
+        ece = metrics.ece(some.select(top.alias("c"), ((F.array_position("proba", top) - 1) == F.col("y")).alias("k")), "c", "k")
+        one = ece.crossJoin(metrics.brier(some.withColumn("y", F.col("y").cast("int")), "proba", "y")).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    best = out.agg(F.min_by("method", F.struct("ece", "method")).alias("chosen"))
+    return out.crossJoin(F.broadcast(best)).select("method", "ece", "brier", (F.col("method") == F.col("chosen")).alias("chosen"))
 
 
 @query()
@@ -156,7 +191,7 @@ def q_isotonic(spark, sf_dir):
 def q_importance(spark, sf_dir):
     """Impurity and permutation importances of a forest."""
     feats = outlook_features(spark, sf_dir)
-    model = learn.classifier("rf", "y", trees=10).fit(learn.assemble(feats, _FEATURES))
+    model = learn.classifier("rf", "y").fit(learn.assemble(feats, _FEATURES))
     impurity = spark.createDataFrame(learn.importances(model, _FEATURES), "feature string, impurity double")
     return learn.permutation_importance(feats.select("doc_id", "y", *_FEATURES), model, _FEATURES, "doc_id", "y").join(impurity, "feature")
 
@@ -175,7 +210,7 @@ def q_salary_models(spark, sf_dir):
     out = None
     for name, hot in (("linear", True), ("rf", False), ("gbt", False)):
         prep = learn.encoded(["code", "o_orderpriority", "c_mktsegment"], [], one_hot=hot).fit(train)
-        options = {"trees": 5, "depth": 5} if name == "rf" else {"iters": 3} if name == "gbt" else {"reg": 0.1}
+        options = {"trees": 200} if name == "rf" else {"iters": 50} if name == "gbt" else {}
         model = learn.regressor(name, "o_totalprice", **options)
         if name != "linear":
             model = model.setMaxBins(64)
@@ -187,24 +222,35 @@ def q_salary_models(spark, sf_dir):
 
 @query()
 def q_opportunities(spark, sf_dir):
-    """The three grid cells of highest predicted value."""
+    """The three grid cells of highest predicted value."""
     p = postings(spark, sf_dir)
     prep = learn.encoded(["code", "o_orderpriority"], [], one_hot=False).fit(p)
-    model = learn.regressor("rf", "o_totalprice", trees=5, depth=5, leaf=5).setMaxBins(64).fit(prep.transform(p))
+    model = learn.regressor("rf", "o_totalprice").setMaxBins(64).fit(prep.transform(p))
     cells = p.select("code").distinct().crossJoin(F.broadcast(p.select("o_orderpriority").distinct()))
     return learn.opportunities(model, prep.transform(cells), 3).select("code", "o_orderpriority", "prediction")
 
 
 @query()
 def q_linear_extractor(spark, sf_dir):
-    """Language labels by one-versus-rest linear models over TF-IDF, and projected rows."""
-    d = table(spark, sf_dir, "documents")
+    """Labels of held-out documents, candidates by a word list and scores by one-versus-rest linear models.
+
+    A document's label is its language; a language is a candidate where one of its
+    function words occurs; its threshold is tuned on the training part.
+    """
+    d = table(spark, sf_dir, "documents").where("lang is not null").select("doc_id", "text", "lang")
+    s = splits.stratified(d.select("doc_id", "lang"), ["doc_id"], "lang", 0.3)
     f = textops.tfidf(d, "doc_id", "text", sizes=(1,)).select(F.col("doc_id").alias("id"), "term", "weight")
-    labels = d.select(F.col("doc_id").alias("id"), F.col("lang").alias("label")).where("label is not null")
-    model = textops.ovr_linear(f, labels, "id", dims=512, epochs=2, most=2000)
-    scores = textops.linear_scores(f, model, "id", 512)
-    hit = textops.hybrid(labels, scores, model.select("label", F.lit(0.0).alias("threshold")), "id")
-    return hit.groupBy("label").agg(F.count(F.lit(1)).alias("recalled"))
+    named = s.select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), "split")
+    own, held = named.where("split = 'train'").drop("split"), named.where("split = 'test'").drop("split")
+    model = textops.ovr_linear(relational.member(f, own, ["id"]), own, "id")
+    scores = textops.linear_scores(f, model, "id")
+    tuning = relational.member(scores, own, ["id"]).join(own.withColumn("y", F.lit(1)), ["id", "label"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
+    tuned = metrics.tune_thresholds(tuning, "label", "score", "y", [-1.0, -0.5, -0.25, 0.0, 0.25, 0.5, 1.0]).select("label", "threshold")
+    words = spark.createDataFrame([(k, w) for k, v in LANGUAGE_WORDS.items() for w in v], "label string, phrase string")
+    found = textops.gazetteer(d, words.select("phrase").distinct(), "doc_id", "text", "phrase", sizes=(1,)).join(words, "phrase").select(F.col("doc_id").alias("id"), "label").distinct()
+    hit = relational.member(textops.hybrid(found, scores, tuned, "id"), held, ["id"])
+    cells = metrics.multilabel_cells(held, hit, "id", "label")
+    return cells.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 @query()

@@ -1,6 +1 @@
-"""Streaming operators.
-
-The blueprint (SURVEY section 2.14) records that the engine has no streaming
-surface: every operator is a batch operator.  The package is kept so that an
-incremental variant has a place to live; it has no members on purpose.
-"""
+"""Incremental variants of batch operators."""
