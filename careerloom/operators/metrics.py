@@ -173,11 +173,11 @@ def nearest_mutual_information(df: DataFrame, features: Sequence[str], label: st
             for j in range(1, take + 1):
                 gaps[j:, 2 * j - 2] = v[j:] - v[:-j]
                 gaps[:-j, 2 * j - 1] = v[j:] - v[:-j]
-            radius[order] = np.nextafter(np.sort(gaps, axis=1)[:, take - 1], 0)
+            radius[order] = np.sort(gaps, axis=1)[:, take - 1]
             near[order], size[order] = take, len(mine)
         used = size > 0
         every = np.sort(x[used])
-        m = np.searchsorted(every, x[used] + radius[used], "right") - np.searchsorted(every, x[used] - radius[used], "left")
+        m = _closer(every, x[used], radius[used])
         if not used.any():
             return pd.DataFrame({"feature": [key[0]], "mutual_information": [0.0]})
         value = _psi(np.array([used.sum()]))[0] + _psi(near[used]).mean() - _psi(size[used]).mean() - _psi(m).mean()
@@ -186,6 +186,20 @@ def nearest_mutual_information(df: DataFrame, features: Sequence[str], label: st
     return long.groupBy("feature").applyInPandas(estimate, "feature string, mutual_information double")
 
 
+def _closer(every: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """How many of the sorted values lie within less than its radius of each x, itself included (radius 0: its equals)."""
+    inside = lambda at: (np.abs(every[np.clip(at, 0, len(every) - 1)] - x) < radius) | (every[np.clip(at, 0, len(every) - 1)] == x)
+    low, high = np.searchsorted(every, x - radius, "left"), np.searchsorted(every, x + radius, "right")
+    while True:  # sums round, differences decide
+        step = (low < high) & ~inside(low)
+        back = (low > 0) & inside(low - 1)
+        cut = (high > low) & ~inside(high - 1)
+        grow = (high < len(every)) & inside(high)
+        if not (step | back | cut | grow).any():
+            return high - low
+        low, high = low + step - (back & ~step), high - cut + (grow & ~cut)
+
+
 def _psi(n: np.ndarray) -> np.ndarray:
     """Digamma of whole numbers: the harmonic sum below n, less Euler's constant."""
     n = np.asarray(n, np.int64)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from careerloom.functions.columns import canonical_key, cosine, overlap, singular, token_set, tokens
 from careerloom.operators.ordered import dense_ids
+from careerloom.sources.io import scratch
 
 
 def label_space(tags: DataFrame, doc: str, label: str, *, docs: DataFrame | None = None, least_df: int = 50, low: int = 2, high: int = 60) -> DataFrame:
@@ -32,26 +33,67 @@ def ngrams(words: Column, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in sizes]))
 
 
+#: Phrases that are put beside every text, and terms that are broadcast; more go through a shuffle.
+FEW_PHRASES, FEW_TERMS = 10_000, 1_000_000
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _gram_hashes(words: Column, n: int) -> Column:
+    """64 bits of every run of n words."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(*[F.element_at(words, i + j) for j in range(n)]))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
+
+
 def gazetteer(docs: DataFrame, vocab: DataFrame, doc: str, text: str, phrase: str, *, sizes: Sequence[int] = (1, 2, 3)) -> DataFrame:
-    """(doc, phrase) where the phrase occurs as whole words; an equi-join on n-grams, not a containment loop."""
-    grams = docs.select(doc, tokens(F.col(text)).alias("_w")).select(doc, F.explode(ngrams(F.col("_w"), sizes)).alias("_g"))
-    keys = vocab.select(phrase, F.array_join(tokens(F.col(phrase)), " ").alias("_g")).where("_g <> ''")
-    return grams.join(keys, "_g").select(doc, phrase).distinct()
+    """(doc, phrase) where the phrase occurs as whole words, by 64-bit hashes of word n-grams.
+
+    A vocabulary of at most FEW_PHRASES is intersected with each text's n-grams in
+    place, so only hits leave the scan; a larger one is an equi-join on the hash.
+    """
+    spelled = vocab.select(phrase, tokens(F.col(phrase)).alias("_v")).where(F.size("_v").isin(list(sizes)))
+    key = F.coalesce(*[F.when(F.size("_v") == n, F.xxhash64(*[F.get("_v", F.lit(j)) for j in range(n)])) for n in sizes])
+    keys = spelled.select(phrase, key.alias("_g"))
+    grams = docs.select(doc, _bind(tokens(F.col(text)), lambda w: F.array_distinct(F.concat(*[_gram_hashes(w, n) for n in sizes]))).alias("_h"))
+    if keys.count() > FEW_PHRASES:
+        return grams.select(doc, F.explode("_h").alias("_g")).join(keys, "_g").select(doc, phrase).distinct()
+    every = keys.agg(F.collect_set("_g").alias("_all"))
+    hits = grams.crossJoin(F.broadcast(every)).select(doc, F.explode(F.array_intersect("_h", "_all")).alias("_g"))
+    return hits.join(F.broadcast(keys), "_g").select(doc, phrase).distinct()
+
+
+def _counted(sorted_hashes: Column) -> Column:
+    """struct(term, tf) of each distinct value of a sorted array."""
+    def runs(x: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i - 1) != F.get(x, i)))
+        cells = lambda at: F.transform(at, lambda p, i: F.struct(F.get(x, p).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(x)) - p).alias("tf")))
+        return F.when(F.size(x) > 0, _bind(first, cells)).otherwise(F.array().cast("array<struct<term:bigint,tf:int>>"))
+
+    return _bind(sorted_hashes, runs)
 
 
 def tfidf(docs: DataFrame, doc: str, text: str, *, least_df: int = 5, sizes: Sequence[int] = (1, 2)) -> DataFrame:
-    """(doc, term, weight): sublinear tf, idf = ln((1 + n) / (1 + df)) + 1, unit length rows."""
-    words = docs.select(doc, tokens(F.col(text), r"[a-z0-9]{2,}").alias("_w"))
-    def all_grams(n: int) -> Column:
-        g = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))
-        return F.when(F.size("_w") >= n, g).otherwise(F.array().cast("array<string>"))
-
-    tf = words.select(doc, F.explode(F.concat(*[all_grams(n) for n in sizes])).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    """(doc, term, weight): sublinear tf, idf = ln((1 + n) / (1 + df)) + 1, unit length rows.
+
+    A term is the 64-bit hash of its words.  Terms are counted inside each text, so what
+    is shuffled is a hash for each term of a text, for the document frequencies, and the
+    weights once, for the lengths.
+    """
+    counts = docs.select(doc, _bind(tokens(F.col(text), r"[a-z0-9]{2,}"), lambda w: _counted(F.sort_array(F.concat(*[_gram_hashes(w, n) for n in sizes])))).alias("_t"))
+    path = scratch(docs.sparkSession, "terms")
+    counts.write.parquet(path)
+    rows = docs.sparkSession.read.schema(counts.schema).parquet(path)
+    tf = rows.select(doc, F.inline("_t"))
+    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
-    raw = tf.join(df, "term").crossJoin(F.broadcast(total)).select(doc, "term", ((1 + F.ln("tf")) * (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1)).alias("w"))
-    length = raw.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return raw.join(length, doc).select(doc, "term", (F.col("w") / F.col("len")).alias("weight"))
+    known = F.broadcast(df) if df.count() <= FEW_TERMS else df
+    weight = ((1 + F.ln("tf")) * (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1)).alias("w")
+    raw = tf.join(known, "term").crossJoin(F.broadcast(total)).select(doc, F.struct("term", weight).alias("_x"))
+    whole = raw.groupBy(doc).agg(F.collect_list("_x").alias("_x")).withColumn("_l", F.sqrt(F.aggregate("_x", F.lit(0.0), lambda n, x: n + x["w"] * x["w"])))
+    return whole.select(doc, "_l", F.inline("_x")).select(doc, "term", (F.col("w") / F.col("_l")).alias("weight"))
 
 
 def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int = 1024, epochs: int = 5, alpha: float = 1e-5, most: int = 20_000) -> DataFrame:

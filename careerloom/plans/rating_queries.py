@@ -9,7 +9,7 @@ from careerloom.functions.columns import band, clip, code_group, tier
 from careerloom.operators import ranking, recommend, relational, splits
 from careerloom.operators.ordered import dense_ids, row_numbers, terciles
 from careerloom.plans.base import RATINGS, Registry, draw_sql, ratings
-from careerloom.sources.io import table
+from careerloom.sources.io import exists, scratch, table
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -71,8 +71,17 @@ train AS (SELECT occ, item, rating FROM split WHERE split = 'train'), test AS (S
 
 
 def _split(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Training and held-out cells, written once: models read the training part several times."""
     s = splits.stratified(ratings(spark, sf_dir), ["occ", "item"], "item")
-    return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
+    path = scratch(spark, "split")
+    s.write.partitionBy("split").parquet(path)
+    cells = spark.read.schema(s.drop("split").schema)
+    return cells.parquet(f"{path}/split=train"), _either(cells, f"{path}/split=test", spark)
+
+
+def _either(reader, path: str, spark) -> DataFrame:
+    """The part at ``path``, or no rows where nothing was held out."""
+    return reader.parquet(path) if exists(spark, path) else spark.createDataFrame([], "occ long, item string, rating double")
 
 
 @query(f"WITH {_SPLIT} SELECT item, split, count(*) AS n, round(avg(rating), 6) AS mean FROM split GROUP BY item, split")
