@@ -16,18 +16,29 @@ from pyspark.sql import functions as F
 from careerloom.sources.io import scratch
 
 
-def _materialised(df: DataFrame, name: str) -> DataFrame:
-    """Partition numbers must not change between the two reads below, so rows are written once."""
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder: every later read sees the same rows, whatever executor is lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast.
+FEW = 100_000
+
+
+def beside(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A dimension for a join or grid: broadcast where its number of rows, counted here, is at most ``most``; else as it is."""
+    kept = materialised(df, "dimension")
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def running_sums(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column]) -> DataFrame:
     """``df`` with inclusive running sums along ``order``, which must be total."""
     values = df.withColumns({f"_v{i}": v for i, v in enumerate(sums.values())} | {f"_o{i}": o for i, o in enumerate(_plain(order))})
     keys = [F.col(f"_o{i}") if not _descends(o) else F.col(f"_o{i}").desc() for i, o in enumerate(order)]
-    parted = _materialised(values.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ordered")
+    # partition numbers must not change between the two reads below
+    parted = materialised(values.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()), "ordered")
     inside = W.partitionBy("_p").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
     totals = parted.groupBy("_p").agg(*[F.sum(f"_v{i}").alias(f"_t{i}") for i in range(len(sums))])
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition at most

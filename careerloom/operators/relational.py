@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from careerloom.functions.draws import draw
+from careerloom.operators.ordered import beside
 
 
 def within(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
@@ -85,13 +86,13 @@ def grid(*dims: DataFrame) -> DataFrame:
     """Every combination of small dimension values."""
     out = dims[0].distinct()
     for d in dims[1:]:
-        out = out.crossJoin(F.broadcast(d.distinct()))
+        out = out.crossJoin(beside(d.distinct()))
     return out
 
 
 def candidates(entities: DataFrame, items: DataFrame, known: DataFrame, on: Sequence[str]) -> DataFrame:
     """Every item that an entity does not have yet; the item dimension is the small side."""
-    return entities.crossJoin(F.broadcast(items)).join(known.select(*on), list(on), "left_anti")
+    return entities.crossJoin(beside(items)).join(known.select(*on), list(on), "left_anti")
 
 
 def counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:

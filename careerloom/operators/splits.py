@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from careerloom.functions.draws import draw
+from careerloom.operators.ordered import materialised
 from careerloom.schemas import FOLDS, HOLDOUT
 
 
@@ -17,10 +18,29 @@ def _rank(by: Sequence[str], keys: Sequence[str], salt: str) -> tuple[Column, Co
     return F.row_number().over(order), F.count(F.lit(1)).over(W.partitionBy(*by))
 
 
+#: Ranges of the draw that a stratum is cut into: a task ranks one of them, not a stratum.
+RANGES = 1024
+
+
+def _ranked(df: DataFrame, stratum: str, keys: Sequence[str], salt: str) -> DataFrame:
+    """``df`` with _r, the rank of each row of its stratum by draw, and _n, the stratum's size.
+
+    The draw is cut into RANGES; a row's rank is its rank within its range plus the number
+    of rows in the ranges before, which a table of strata x RANGES counts gives.
+    """
+    marked = materialised(df.withColumn("_d", draw(*keys, salt=salt)).withColumn("_b", F.floor(F.col("_d") / (2**32 // RANGES)).cast("int")), "drawn")
+    sizes = marked.groupBy(F.col(stratum).alias("_s"), F.col("_b").alias("_of")).agg(F.count(F.lit(1)).alias("_m"))
+    every = W.partitionBy("_s")
+    starts = sizes.select("_s", "_of", (F.sum("_m").over(every.orderBy("_of")) - F.col("_m")).alias("_before"), F.sum("_m").over(every).alias("_n"))
+    inside = F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_d", *keys))
+    joined = marked.withColumn("_i", inside).join(starts, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_of")))
+    return joined.select(*df.columns, (F.col("_i") + F.col("_before")).alias("_r"), "_n")
+
+
 def stratified(df: DataFrame, keys: Sequence[str], stratum: str, fraction: float = HOLDOUT, salt: str = "42") -> DataFrame:
     """The first round(fraction * n) of each stratum by hash are test; a singleton trains."""
-    r, n = _rank([stratum], keys, salt)
-    return df.withColumn("split", F.when((n > 1) & (r <= F.floor(n * fraction + 0.5)), "test").otherwise("train"))
+    test = (F.col("_n") > 1) & (F.col("_r") <= F.floor(F.col("_n") * fraction + 0.5))
+    return _ranked(df, stratum, keys, salt).withColumn("split", F.when(test, "test").otherwise("train")).drop("_r", "_n")
 
 
 def random_split(df: DataFrame, keys: Sequence[str], fraction: float = HOLDOUT, salt: str = "42") -> DataFrame:
@@ -37,8 +57,7 @@ def with_validation(df: DataFrame, keys: Sequence[str], stratum: str, fraction:
 
 def folds(df: DataFrame, keys: Sequence[str], stratum: str, k: int = FOLDS, salt: str = "42") -> DataFrame:
     """Stratified folds 0..k-1."""
-    r, _ = _rank([stratum], keys, salt)
-    return df.withColumn("fold", ((r - 1) % k).cast("int"))
+    return _ranked(df, stratum, keys, salt).withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_r", "_n")
 
 
 def leave_one_out(core: DataFrame, entity: str, item: str, salt: str = "42") -> DataFrame:

@@ -11,8 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from careerloom.functions.columns import canonical_key, cosine, overlap, singular, token_set, tokens
-from careerloom.operators.ordered import dense_ids
-from careerloom.sources.io import scratch
+from careerloom.operators.ordered import beside, dense_ids, materialised
 
 
 def label_space(tags: DataFrame, doc: str, label: str, *, docs: DataFrame | None = None, least_df: int = 50, low: int = 2, high: int = 60) -> DataFrame:
@@ -83,9 +82,7 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, least_df: int = 5, sizes: Seq
     weights once, for the lengths.
     """
     counts = docs.select(doc, _bind(tokens(F.col(text), r"[a-z0-9]{2,}"), lambda w: _counted(F.sort_array(F.concat(*[_gram_hashes(w, n) for n in sizes])))).alias("_t"))
-    path = scratch(docs.sparkSession, "terms")
-    counts.write.parquet(path)
-    rows = docs.sparkSession.read.schema(counts.schema).parquet(path)
+    rows = materialised(counts, "terms")
     tf = rows.select(doc, F.inline("_t"))
     total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
@@ -99,14 +96,22 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, least_df: int = 5, sizes: Seq
 def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int = 1024, epochs: int = 5, alpha: float = 1e-5, most: int = 20_000) -> DataFrame:
     """One-versus-rest linear hinge with balanced weights: (label, weights) over hashed terms.
 
-    One task fits one label; its rows are that label's positives and hash-drawn
-    negatives, ``most`` at most, so a group is bounded.
+    One task fits one label; its rows are at most ``most`` / 2 of the label's positives and as
+    many of its negatives, all by hash order.  Negatives come from one pool of ``most``
+    documents, so no document stands beside every label, and only drawn documents' features move.
     """
     hashed = features.select(doc, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), "weight")
     rows = hashed.groupBy(doc).agg(F.collect_list(F.struct("i", "weight")).alias("x"))
-    names = labels.select("label").distinct()
-    flagged = rows.crossJoin(F.broadcast(names)).join(labels.select(doc, "label", F.lit(1).alias("y")), [doc, "label"], "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    drawn = flagged.withColumn("_r", F.row_number().over(W.partitionBy("label", "y").orderBy(F.xxhash64(doc), doc))).where(F.col("_r") <= most // 2)
+    order = F.xxhash64(doc)
+    known = labels.select(doc, "label").distinct()
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    # a label's share by hash first, the exact cut on what is left: no task ranks all rows of a label
+    share = F.pmod(order, F.lit(1 << 30)) * F.col("_n") < F.lit((most + 64) * (1 << 30))
+    positives = known.join(beside(counts), "label").where(share).withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(order, doc))).where(F.col("_r") <= most // 2).select(doc, "label", F.lit(1).alias("y"))
+    pool = materialised(rows.select(doc).orderBy(order, doc).limit(most), "pool")
+    others = pool.crossJoin(beside(counts.select("label"))).join(known, [doc, "label"], "left_anti")
+    negatives = others.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(order, doc))).where(F.col("_r") <= most // 2).select(doc, "label", F.lit(0).alias("y"))
+    drawn = positives.unionByName(negatives).join(rows, doc)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros((len(pdf), dims))
@@ -197,7 +202,7 @@ def svd_embedding(features: DataFrame, doc: str, *, dims: int = 1024, k: int = 1
 def best_sentence(sentences: DataFrame, skills: DataFrame, doc: str) -> DataFrame:
     """The largest cosine of any of a document's sentences with each skill's vector."""
     s = skills.select("skill", F.col("v").alias("sv"))
-    return sentences.crossJoin(F.broadcast(s)).groupBy(doc, "skill").agg(F.max(cosine(F.col("v"), F.col("sv"))).alias("score"))
+    return sentences.crossJoin(beside(s)).groupBy(doc, "skill").agg(F.max(cosine(F.col("v"), F.col("sv"))).alias("score"))
 
 
 def bridge(skills: DataFrame, names: DataFrame, *, lexical: float = 0.8, semantic: float = 0.55) -> DataFrame:
@@ -207,7 +212,7 @@ def bridge(skills: DataFrame, names: DataFrame, *, lexical: float = 0.8, semanti
     """
     s = skills.select("skill", "doc_freq", F.col("v").alias("sv"), token_set(F.col("skill")).alias("st"))
     n = names.select("descriptor_id", "name", F.col("v").alias("nv"), token_set(F.col("name")).alias("nt"))
-    pairs = s.crossJoin(F.broadcast(n)).select("skill", "doc_freq", "descriptor_id", "name", overlap(F.col("st"), F.col("nt")).alias("lex"), cosine(F.col("sv"), F.col("nv")).alias("cos"))
+    pairs = s.crossJoin(beside(n)).select("skill", "doc_freq", "descriptor_id", "name", overlap(F.col("st"), F.col("nt")).alias("lex"), cosine(F.col("sv"), F.col("nv")).alias("cos"))
     pick = lambda m: F.min(F.struct((-F.col(m)).alias("a"), F.col("descriptor_id").alias("id"), F.col("name").alias("name")))
     best = pairs.groupBy("skill", "doc_freq").agg(pick("lex").alias("l"), pick("cos").alias("c"))
     by_name, by_text = -F.col("l.a") >= lexical, -F.col("c.a") >= semantic
@@ -256,7 +261,8 @@ def lookup(names: DataFrame, code: str, name: str, text: str, *, cutoff: float =
     low = F.lower(F.col(name))
     direct = names.select(code, name, F.when(low == q, 1).when(low.contains(q), 2).alias("prio"), F.lit(1.0).alias("score")).where("prio is not null")
     fuzzy = names.select(code, name).where(F.col(name).isNotNull()).mapInPandas(score, f"c {dict(names.dtypes)[code]}, n string, score double").where(F.col("score") >= cutoff).select(F.col("c").alias(code), F.col("n").alias(name), F.lit(3).alias("prio"), "score")
-    every = direct.unionByName(fuzzy)
+    # names are compared letter by letter only where no cheaper route hits
+    every = fuzzy if direct.isEmpty() else direct
     first = every.agg(F.min("prio").alias("_p"))
     hits = every.crossJoin(F.broadcast(first)).where("prio = _p").orderBy(F.desc("score"), code).limit(k)
     return hits.select(code, name, F.element_at(F.array(*map(F.lit, ("exact", "substring", "fuzzy"))), F.col("prio")).alias("route"), "score")
@@ -272,7 +278,7 @@ def lookup_regex(names: DataFrame, code: str, name: str, text: str) -> DataFrame
 def match_unique(items: DataFrame, name: str, queries: DataFrame, query: str) -> DataFrame:
     """exact, else the only prefix hit, else the only substring hit."""
     q, n = F.lower(F.trim(F.col(query))), F.lower(F.col(name))
-    pairs = queries.select(query).crossJoin(F.broadcast(items.select(name))).where(n.contains(q))
+    pairs = queries.select(query).crossJoin(beside(items.select(name))).where(n.contains(q))
     flags = pairs.groupBy(query).agg(
         F.min(F.when(n == q, F.col(name))).alias("e"), F.min(F.when(n.startswith(q), F.col(name))).alias("p"), F.sum(n.startswith(q).cast("int")).alias("np"), F.min(name).alias("s"), F.count(F.lit(1)).alias("ns")
     )

@@ -196,7 +196,7 @@ def q_importance(spark, sf_dir):
     return learn.permutation_importance(feats.select("doc_id", "y", *_FEATURES), model, _FEATURES, "doc_id", "y").join(impurity, "feature")
 
 
-@query()
+@query("WITH l AS (SELECT doc_id, min(quality)::DOUBLE AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id), c AS (SELECT y, count(*) AS n FROM l JOIN documents USING (doc_id) GROUP BY y) SELECT y, CASE WHEN n > 1 THEN max(n) OVER () ELSE n END AS n FROM c")
 def q_smote(spark, sf_dir):
     """Class sizes after filling up."""
     return learn.smote(outlook_features(spark, sf_dir), _FEATURES, "y", "doc_id").groupBy("y").agg(F.count(F.lit(1)).alias("n"))
