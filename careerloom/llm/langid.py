@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from careerloom.llm.shared import extended
+from careerloom.llm.shared import bound_batches, extended
 
 UNKNOWN = "und"
 FIT_ROWS, FIT_CHARS, LANDMARKS = 2400, 20_000, 192
@@ -236,6 +236,7 @@ def train(df: DataFrame, *, doc: str = "doc_id", text: str = "text", lang: str =
 
 def identify(df: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """``df`` with lang_pred and score."""
+    bound_batches(df.sparkSession)
     if model is None:
         return extended(df, F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")), ["lang_pred", "score"])
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -37,7 +37,7 @@ from pyspark.sql.functions import pandas_udf
 
 from careerloom.llm import dartminhash
 from careerloom.llm.components import connected_components
-from careerloom.llm.shared import hidden, let, shared_table
+from careerloom.llm.shared import bound_batches, hidden, let, shared_table
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -202,6 +202,7 @@ def classes(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> DataFr
 
     n_links counts the verified links of the row's node that were needed.
     """
+    bound_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     cut = df.select(F.col(doc).alias("doc_id"), F.xxhash64(body).alias("raw"), let(words_of(body), lambda w: F.struct(_node(body, w).alias("node"), _hashes(w).alias("hashes"))).alias("x"))
     rows = shared_table(cut.select("doc_id", "raw", "x.node", _sketch("x.hashes").alias("k")).select("doc_id", "raw", "node", "k.bands", "k.sig"), "signatures")

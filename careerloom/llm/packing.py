@@ -35,6 +35,7 @@ from pyspark.sql.functions import pandas_udf
 
 from careerloom.llm import tokens
 from careerloom.llm.hilbert import hilbert_key
+from careerloom.llm.shared import bound_batches
 
 LENGTH = 1024
 END_ID = 0
@@ -128,6 +129,7 @@ class Packer:
 
 def pack(df: DataFrame, *, doc: str = "doc_id", text: str = "text", json_path: str, rank_path: str, pattern: str, length: int = LENGTH) -> DataFrame:
     """A row per piece, see SCHEMA; sequence ids are unique, offsets gapless in each sequence."""
+    bound_batches(df.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     size = df.agg(F.sum(F.octet_length(body))).first()[0] or 0
     keyed = df.select(F.col(doc).cast("long").alias("doc_id"), body.alias("text")).withColumn("_key", _keys("text")).withColumn("_tie", F.xxhash64("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id())

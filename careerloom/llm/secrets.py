@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from careerloom.llm.shared import extended
+from careerloom.llm.shared import bound_batches, extended
 
 KINDS = ("assign", "access", "hex", "cnn")
 #: The base patterns and their least lengths.
@@ -253,6 +253,7 @@ def _labelled(texts: list[str]) -> tuple[list[np.ndarray], list[int]]:
 
 def train(df: DataFrame, *, doc: str = "doc_id", text: str = "text") -> Net:
     """Fit on generated findings and on a bounded sample of the corpus's candidates."""
+    bound_batches(df.sparkSession)
     total = df.count()
     share = int(min(1.0, FIT_DOCS / max(1, total)) * (1 << 30))
 
@@ -298,6 +299,7 @@ def added_spans(texts: list[str], base: list[list[tuple[int, int, int]]], net: N
 
 def scan(df: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
     """``df`` with base_spans and spans: strings of kind:start:stop, sorted and comma-joined."""
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     @pandas_udf("base_spans string, spans string")
@@ -313,6 +315,7 @@ def scan(df: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, net: Net, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every found span replaced by ``mark``; same columns."""
+    bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(net)
 
     @pandas_udf("string")

@@ -51,6 +51,20 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on an Arrow batch to BATCH_BYTES: it bounds executor memory and no result.
+
+    The bound holds in the JVM's buffers and in the worker, twice or more in each, for every
+    task at once, so the default of 64 MB takes a good part of a small executor.
+    """
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from careerloom.llm.shared import shared_table
+from careerloom.llm.shared import bound_batches, shared_table
 
 PIVOTS, RINGS = 32, 8
 PIVOT_SAMPLE = 4096
@@ -126,6 +126,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score.  ``vectors`` and ``queries``: (vec_id, v array<bigint>)."""
     spark = vectors.sparkSession
+    bound_batches(spark)
     facts = vectors.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     if facts[0] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
