@@ -6,12 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from careerloom.functions.columns import canonical_key, cosine, overlap, singular, token_set, tokens
-from careerloom.operators.ordered import beside, dense_ids, materialised
+from careerloom.operators.ordered import beside, bound_batches, dense_ids, materialised
 
 
 def label_space(tags: DataFrame, doc: str, label: str, *, docs: DataFrame | None = None, least_df: int = 50, low: int = 2, high: int = 60) -> DataFrame:
@@ -35,6 +37,9 @@ def ngrams(words: Column, sizes: Sequence[int]) -> Column:
 #: Phrases that are put beside every text, and terms that are broadcast; more go through a shuffle.
 FEW_PHRASES, FEW_TERMS = 10_000, 1_000_000
 
+#: Fitted labels whose weights go to every worker.
+FEW_LABELS = 1000
+
 
 def _bind(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row."""
@@ -81,11 +86,22 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, least_df: int = 5, sizes: Seq
     is shuffled is a hash for each term of a text, for the document frequencies, and the
     weights once, for the lengths.
     """
+    return _weights(_term_counts(docs, doc, text, sizes), doc, least_df)
+
+
+def _term_counts(docs: DataFrame, doc: str, text: str, sizes: Sequence[int]) -> DataFrame:
     counts = docs.select(doc, _bind(tokens(F.col(text), r"[a-z0-9]{2,}"), lambda w: _counted(F.sort_array(F.concat(*[_gram_hashes(w, n) for n in sizes])))).alias("_t"))
-    rows = materialised(counts, "terms")
+    return materialised(counts, "terms")
+
+
+def _frequencies(rows: DataFrame, doc: str, least_df: int) -> DataFrame:
+    return rows.select(doc, F.inline("_t")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
+
+
+def _weights(rows: DataFrame, doc: str, least_df: int) -> DataFrame:
     tf = rows.select(doc, F.inline("_t"))
     total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df)
+    df = _frequencies(rows, doc, least_df)
     known = F.broadcast(df) if df.count() <= FEW_TERMS else df
     weight = ((1 + F.ln("tf")) * (F.ln((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1)).alias("w")
     raw = tf.join(known, "term").crossJoin(F.broadcast(total)).select(doc, F.struct("term", weight).alias("_x"))
@@ -93,6 +109,59 @@ def tfidf(docs: DataFrame, doc: str, text: str, *, least_df: int = 5, sizes: Seq
     return whole.select(doc, "_l", F.inline("_x")).select(doc, "term", (F.col("w") / F.col("_l")).alias("weight"))
 
 
+def hashed_rows(features: DataFrame, doc: str, dims: int) -> DataFrame:
+    """(doc, i, w): each document's hashed columns and weights as two arrays, which a worker reads without an object for each cell."""
+    bound_batches(features.sparkSession)
+    cells = F.struct(F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), F.col("weight").alias("w"))
+    rows = features.groupBy(doc).agg(F.collect_list(cells).alias("x"))
+    return rows.select(doc, F.col("x.i").alias("i"), F.col("x.w").alias("w"))
+
+
+def tfidf_rows(docs: DataFrame, doc: str, text: str, *, dims: int = 1024, least_df: int = 5, sizes: Sequence[int] = (1, 2)) -> DataFrame:
+    """``hashed_rows`` of ``tfidf``, weighted where the texts lie.
+
+    Up to FEW_TERMS known terms go to the workers as sorted arrays, so no cell is
+    shuffled; more of them, or a document in several rows, take the joins of ``tfidf``.
+    """
+    rows = _term_counts(docs, doc, text, sizes)
+    df = materialised(_frequencies(rows, doc, least_df).select("term", "df", F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i")), "frequencies")
+    if df.count() > FEW_TERMS or not rows.groupBy(doc).count().where("count > 1").isEmpty():
+        return hashed_rows(_weights(rows, doc, least_df), doc, dims)
+    bound_batches(rows.sparkSession)
+    n_docs, known = rows.count(), df.orderBy("term").toArrow()  # FEW_TERMS rows at most
+    term, column = known.column("term").to_numpy(), known.column("i").to_numpy()
+    idf = np.log((1.0 + n_docs) / (1.0 + known.column("df").to_numpy())) + 1
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, tf = b.column("term"), b.column("tf").flatten().to_numpy()
+            row, cells = np.repeat(np.arange(b.num_rows), pc.list_value_length(found).fill_null(0).to_numpy(zero_copy_only=False)), found.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(term, cells), max(0, len(term) - 1))
+            hit = term[at] == cells if len(term) else np.zeros(len(cells), bool)
+            row, at = row[hit], at[hit]
+            w = (1 + np.log(tf[hit])) * idf[at]
+            w /= np.sqrt(np.bincount(row, weights=w * w, minlength=b.num_rows))[row]
+            size = np.bincount(row, minlength=b.num_rows)
+            some = size > 0
+            ends = pa.array(np.append(0, np.cumsum(size[some])), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(doc).filter(pa.array(some)), pa.ListArray.from_arrays(ends, pa.array(column[at], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(w, pa.float64()))], names=[doc, "i", "w"])
+
+    kind = dict(rows.dtypes)[doc]
+    return rows.select(doc, F.col("_t.term").alias("term"), F.col("_t.tf").alias("tf")).mapInArrow(weigh, f"{doc} {kind}, i array<int>, w array<double>")
+
+
+def _rows(features: DataFrame, doc: str, dims: int) -> DataFrame:
+    """Hashed rows of features (doc, term, weight), or the rows themselves where they are hashed."""
+    return features if {"i", "w"} <= set(features.columns) else hashed_rows(features, doc, dims)
+
+
+def _dense(i: pa.ListArray, w: pa.ListArray, dims: int) -> np.ndarray:
+    """A row of ``dims`` numbers for each document; weights of one column add up."""
+    row = np.repeat(np.arange(len(i)), np.diff(i.offsets.to_numpy()))
+    at = row * dims + i.flatten().to_numpy()
+    return np.bincount(at, weights=w.flatten().to_numpy(), minlength=len(i) * dims).reshape(len(i), dims)
+
+
 def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int = 1024, epochs: int = 5, alpha: float = 1e-5, most: int = 20_000) -> DataFrame:
     """One-versus-rest linear hinge with balanced weights: (label, weights) over hashed terms.
 
@@ -100,8 +169,7 @@ def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int =
     many of its negatives, all by hash order.  Negatives come from one pool of ``most``
     documents, so no document stands beside every label, and only drawn documents' features move.
     """
-    hashed = features.select(doc, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), "weight")
-    rows = hashed.groupBy(doc).agg(F.collect_list(F.struct("i", "weight")).alias("x"))
+    rows = _rows(features, doc, dims)
     order = F.xxhash64(doc)
     known = labels.select(doc, "label").distinct()
     counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
@@ -114,10 +182,7 @@ def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int =
     drawn = positives.unionByName(negatives).join(rows, doc)
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros((len(pdf), dims))
-        for n, cells in enumerate(pdf["x"]):
-            for c in cells:
-                x[n, c["i"]] += c["weight"]
+        at, weight = pdf["i"].to_numpy(), pdf["w"].to_numpy()
         y = pdf["y"].to_numpy() * 2.0 - 1
         share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
         w, b, rng, t = np.zeros(dims), 0.0, np.random.Generator(np.random.PCG64(42)), 0
@@ -126,8 +191,9 @@ def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int =
                 t += 1
                 eta = 1 / (1 + alpha * 1e3 * t) * 0.1
                 w *= 1 - eta * alpha
-                if y[n] * (x[n] @ w + b) < 1:
-                    w += eta * share[n] * y[n] * x[n]
+                x = np.bincount(at[n], weights=weight[n], minlength=dims)
+                if y[n] * (x @ w + b) < 1:
+                    w += eta * share[n] * y[n] * x
                     b += eta * share[n] * y[n]
         return pd.DataFrame({"label": [key[0]], "bias": [b], "w": [w.tolist()]})
 
@@ -135,14 +201,35 @@ def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int =
 
 
 def linear_scores(features: DataFrame, model: DataFrame, doc: str, dims: int = 1024) -> DataFrame:
-    """(doc, label, score) of the fitted labels."""
-    hashed = features.select(doc, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), "weight")
+    """(doc, label, score) of the fitted labels; hashed rows meet up to FEW_LABELS labels where they lie."""
+    if {"i", "w"} <= set(features.columns):
+        fitted = model.limit(FEW_LABELS + 1).collect()
+        if len(fitted) <= FEW_LABELS:
+            return _scores_in_place(features, fitted, doc, dims)
+        hashed = features.select(doc, F.inline(F.arrays_zip("i", "w"))).withColumnRenamed("w", "weight")
+    else:
+        hashed = features.select(doc, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), "weight")
     cells = model.select("label", "bias", F.posexplode("w").alias("i", "w")).where("w <> 0")
     biases = model.select("label", "bias")
     sums = hashed.join(cells.select("label", "i", "w"), "i").groupBy(doc, "label").agg(F.sum(F.col("weight") * F.col("w")).alias("s"))
     return sums.join(F.broadcast(biases), "label").select(doc, "label", (F.col("s") + F.col("bias")).alias("score"))
 
 
+def _scores_in_place(rows: DataFrame, fitted: Sequence, doc: str, dims: int) -> DataFrame:
+    names = np.array([m["label"] for m in fitted], object)
+    bias, w = np.array([m["bias"] for m in fitted], float), np.array([m["w"] for m in fitted], float).reshape(len(fitted), dims).T
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                x = _dense(part.column("i"), part.column("w"), dims)
+                d, k = np.nonzero((x != 0).astype(float) @ (w != 0))  # a document and a label that share a column
+                yield pa.RecordBatch.from_arrays([part.column(doc).take(pa.array(d)), pa.array(names[k], pa.string()), pa.array((x @ w + bias)[d, k])], names=[doc, "label", "score"])
+
+    return rows.mapInArrow(score, f"{doc} {dict(rows.dtypes)[doc]}, label string, score double")
+
+
 def hybrid(candidates: DataFrame, scores: DataFrame, thresholds: DataFrame, doc: str) -> DataFrame:
     """Gazetteer candidates whose linear score passes the label's threshold."""
     return candidates.join(scores, [doc, "label"]).join(thresholds, "label").where(F.col("score") > F.col("threshold")).select(doc, "label")
@@ -162,41 +249,44 @@ def svd_embedding(features: DataFrame, doc: str, *, dims: int = 1024, k: int = 1
     The Gram matrix of ``dims`` columns is summed over partitions, so its size is fixed; its
     eigenvectors are the right singular vectors, and rows are projected where they lie.
     """
-    rows = features.select(doc, F.pmod(F.xxhash64("term"), F.lit(dims)).cast("int").alias("i"), "weight").groupBy(doc).agg(F.collect_list(F.struct("i", "weight")).alias("x"))
-
-    def dense(cells) -> np.ndarray:
-        out = np.zeros((len(cells), dims))
-        for n, row in enumerate(cells):
-            for c in row:
-                out[n, c["i"]] += c["weight"]
-        return out
+    rows = _rows(features, doc, dims)
 
-    def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((dims, dims))
+    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for b in batches:
-            for at in range(0, len(b), 512):
-                x = dense(b["x"].iloc[at : at + 512])
-                total += x.T @ x
-        yield pd.DataFrame({"row": np.arange(dims), "g": list(total)})
-
-    parts = rows.select("x").mapInPandas(gram, "row int, g array<double>")
-    sums = parts.select("row", F.posexplode("g").alias("col", "g")).where("g <> 0").groupBy("row", "col").agg(F.sum("g").alias("g")).toPandas()  # dims x dims cells at most
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                x = _dense(part.column("i"), part.column("w"), dims)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"row": pa.array(np.arange(dims), pa.int32()), "g": pa.array([r.tobytes() for r in total], pa.binary())})
+
+    def summed(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(dims)
+        for g in pdf["g"]:
+            total += np.frombuffer(g)
+        return pd.DataFrame({"row": [key[0]], "g": [total.tobytes()]})
+
+    parts = rows.select("i", "w").mapInArrow(gram, "row int, g binary")
     whole = np.zeros((dims, dims))
-    whole[sums["row"], sums["col"]] = sums["g"]
+    for row, g in parts.groupBy("row").applyInPandas(summed, "row int, g binary").collect():  # dims rows of dims numbers
+        whole[row] = np.frombuffer(bytes(g))
     value, vector = np.linalg.eigh((whole + whole.T) / 2)
     keep = np.argsort(-value, kind="stable")[:k]
     basis = vector[:, keep] * np.sign(vector[np.abs(vector[:, keep]).argmax(0), keep])
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
-                v = dense(part["x"]) @ basis
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                v = _dense(part.column("i"), part.column("w"), dims) @ basis
                 length = np.linalg.norm(v, axis=1, keepdims=True)
-                yield pd.DataFrame({doc: part[doc], "v": list(v / np.where(length > 0, length, 1))})
+                unit = (v / np.where(length > 0, length, 1)).ravel()
+                ends = pa.array(np.arange(part.num_rows + 1) * basis.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(doc), pa.ListArray.from_arrays(ends, pa.array(unit))], names=[doc, "v"])
 
     kind = dict(features.dtypes)[doc]
-    return rows.mapInPandas(project, f"{doc} {kind}, v array<double>")
+    return rows.mapInArrow(project, f"{doc} {kind}, v array<double>")
 
 
 def best_sentence(sentences: DataFrame, skills: DataFrame, doc: str) -> DataFrame:

@@ -99,6 +99,38 @@ def test_svd_rows_equal_numpy(spark):
     assert np.allclose(mine @ mine.T, want @ want.T, atol=1e-8)
 
 
+def test_hashed_rows_reach_workers_as_arrays(spark):
+    f = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.25), (2, "a", 1.0)], "doc long, term string, weight double")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b")
+    rows = textops.hashed_rows(f, "doc", 1)
+    assert dict(rows.dtypes) == {"doc": "bigint", "i": "array<int>", "w": "array<double>"}
+    assert spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() <= 8 << 20
+    assert {x.doc: (x.i, sorted(x.w)) for x in rows.collect()} == {1: ([0, 0], [0.25, 0.5]), 2: ([0], [1.0])}
+    part = rows.orderBy("doc").toArrow().combine_chunks().slice(1)
+    assert textops._dense(part.column("i").chunk(0), part.column("w").chunk(0), 2).tolist() == [[1.0, 0.0]]
+
+
+def test_rows_weighted_in_place_equal_joined_ones(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(12)}" for _ in range(r.randrange(30))) for _ in range(40)] + [None, "", "once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+
+    def rows(frame):
+        return {x.d: [round(v, 9) for v in np.bincount(x.i, weights=x.w, minlength=64)] for x in textops.tfidf_rows(frame, "d", "t", dims=64, least_df=3).collect()}
+
+    want = {x.d: [round(v, 9) for v in np.bincount(x.i, weights=x.w, minlength=64)] for x in textops.hashed_rows(textops.tfidf(docs, "d", "t", least_df=3), "d", 64).collect()}
+    assert rows(docs) == want and 42 not in want
+    twice = docs.union(docs.where("d < 3"))
+    assert len(rows(twice)) == len(want)
+    f = textops.tfidf_rows(docs, "d", "t", dims=64, least_df=3)
+    model = spark.createDataFrame([("x", 0.5, [float(i % 3) for i in range(64)]), ("none", 1.0, [0.0] * 64)], "label string, bias double, w array<double>")
+    few = {(x.d, x.label): round(x.score, 9) for x in textops.linear_scores(f, model, "d", dims=64).collect()}
+    monkeypatch.setattr(textops, "FEW_LABELS", 0)
+    assert few == {(x.d, x.label): round(x.score, 9) for x in textops.linear_scores(f, model, "d", dims=64).collect()} and few
+    monkeypatch.setattr(textops, "FEW_TERMS", 0)
+    assert rows(docs) == want
+
+
 def test_hashed_terms_and_phrases_equal_brute_force(spark, monkeypatch):
     texts = ["The red fox and the red hen", "red fox", "", "hen and the fox; THE RED fox!", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
