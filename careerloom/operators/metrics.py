@@ -147,47 +147,52 @@ def binned_mutual_information(df: DataFrame, feature: str, label: str, bins: int
     return joint.join(nb, "_b").join(nl, label).crossJoin(F.broadcast(total)).agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("nb") * F.col("nl")))).alias("mutual_information"))
 
 
-def nearest_mutual_information(df: DataFrame, features: Sequence[str], label: str, *, k: int = 3, most: int = 200_000) -> DataFrame:
+def nearest_mutual_information(df: DataFrame, features: Sequence[str], label: str, *, k: int = 3) -> DataFrame:
     """Mutual information of each feature and a class by nearest neighbours (Ross' estimator).
 
     For a row with k neighbours of its class within distance d, and m rows of any class
     closer than d, the estimate is psi(n) + psi(k) - mean psi(class size) - mean psi(m).
-    A feature's values are one group, sorted once; a frame of more than ``most`` rows raises.
+    Equal rows are counted first; a feature's distinct values and classes are one group, sorted once.
     """
-    if df.count() > most:
-        raise ValueError("the frame exceeds the bound of one group")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("c"), F.col(label).cast("string").alias("y")).select("c.feature", "c.x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    counted = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
     def estimate(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy()
-        radius, near, size = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        x, y, n = pdf["x"].to_numpy(float), pd.factorize(pdf["y"])[0], pdf["n"].to_numpy(np.int64)
+        radius, near, size = np.zeros(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         for c in np.unique(y):
             mine = np.flatnonzero(y == c)
-            if len(mine) < 2:
+            rows = int(n[mine].sum())
+            if rows < 2:
                 continue
-            take = min(k, len(mine) - 1)
+            take = min(k, rows - 1)
             order = mine[np.argsort(x[mine], kind="stable")]
-            v = x[order]
-            # a row's nearest of its class lie within k places of it in sorted order
-            gaps = np.full((len(v), 2 * take), np.inf)
+            v, w = x[order], n[order]
+            # a row's nearest of its class are its equals and values within k places of it in sorted order
+            gaps, weight = np.full((len(v), 2 * take + 1), np.inf), np.zeros((len(v), 2 * take + 1), np.int64)
+            gaps[:, 0], weight[:, 0] = 0.0, w - 1
             for j in range(1, take + 1):
-                gaps[j:, 2 * j - 2] = v[j:] - v[:-j]
-                gaps[:-j, 2 * j - 1] = v[j:] - v[:-j]
-            radius[order] = np.sort(gaps, axis=1)[:, take - 1]
-            near[order], size[order] = take, len(mine)
+                gaps[j:, 2 * j - 1], weight[j:, 2 * j - 1] = v[j:] - v[:-j], w[:-j]
+                gaps[:-j, 2 * j], weight[:-j, 2 * j] = v[j:] - v[:-j], w[j:]
+            by = np.argsort(gaps, axis=1, kind="stable")
+            reached = np.cumsum(np.take_along_axis(weight, by, 1), axis=1) >= take
+            radius[order] = np.take_along_axis(np.take_along_axis(gaps, by, 1), reached.argmax(1)[:, None], 1)[:, 0]
+            near[order], size[order] = take, rows
         used = size > 0
-        every = np.sort(x[used])
-        m = _closer(every, x[used], radius[used])
         if not used.any():
             return pd.DataFrame({"feature": [key[0]], "mutual_information": [0.0]})
-        value = _psi(np.array([used.sum()]))[0] + _psi(near[used]).mean() - _psi(size[used]).mean() - _psi(m).mean()
+        every, at = np.unique(x[used], return_inverse=True)
+        before = np.append(0, np.cumsum(np.bincount(at, weights=n[used]).astype(np.int64)))
+        low, high = _closer(every, x[used], radius[used])
+        mean = lambda values: float((_psi(values) * n[used]).sum() / n[used].sum())
+        value = _psi(np.array([n[used].sum()]))[0] + mean(near[used]) - mean(size[used]) - mean(before[high] - before[low])
         return pd.DataFrame({"feature": [key[0]], "mutual_information": [max(0.0, float(value))]})
 
-    return long.groupBy("feature").applyInPandas(estimate, "feature string, mutual_information double")
+    return counted.groupBy("feature").applyInPandas(estimate, "feature string, mutual_information double")
 
 
-def _closer(every: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """How many of the sorted values lie within less than its radius of each x, itself included (radius 0: its equals)."""
+def _closer(every: np.ndarray, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end position of the sorted values that lie within less than its radius of each x, itself included (radius 0: its equals)."""
     inside = lambda at: (np.abs(every[np.clip(at, 0, len(every) - 1)] - x) < radius) | (every[np.clip(at, 0, len(every) - 1)] == x)
     low, high = np.searchsorted(every, x - radius, "left"), np.searchsorted(every, x + radius, "right")
     while True:  # sums round, differences decide
@@ -196,7 +201,7 @@ def _closer(every: np.ndarray, x: np.ndarray, radius: np.ndarray) -> np.ndarray:
         cut = (high > low) & ~inside(high - 1)
         grow = (high < len(every)) & inside(high)
         if not (step | back | cut | grow).any():
-            return high - low
+            return low, high
         low, high = low + step - (back & ~step), high - cut + (grow & ~cut)
 
 

@@ -205,3 +205,45 @@ def test_a_walk_model_stays_finite(spark):
     assert s.where(F.isnan("score") | (F.abs("score") > 1e6)).count() == 0
     y = s.join(spark.createDataFrame(rows, "occ long, item string, rating double"), ["occ", "item"]).withColumn("y", (F.col("rating") > 2).cast("int"))
     assert ranking.roc_auc(y, "score", "y").first()[0] > 0.9
+
+
+def test_filled_classes_do_not_depend_on_blocks(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, r.random(), r.random(), 1.0) for i in range(120)] + [(i, r.random(), float(i % 4), 0.0) for i in range(200, 250)] + [(999, 0.0, 0.0, 2.0)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y double")
+    read = lambda: sorted(tuple(x) for x in learn.smote(df, ["a", "b"], "y", "k").collect())
+    whole = read()
+    assert sum(x[2] == 0.0 for x in whole) == sum(x[2] == 1.0 for x in whole) == 120 and len(whole) == 241
+    monkeypatch.setattr(learn, "SMOTE_BLOCK", 7)
+    assert read() == whole
+    x = np.array([[v[1], v[2]] for v in rows[120:170]])
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    assert (learn._nearest(x, np.arange(50), 3) == np.argsort(d, axis=1, kind="stable")[:, :3]).all()
+
+
+def test_walks_of_all_nodes_have_second_order_steps():
+    a, b = np.array([0, 0, 0, 1, 1, 2]), np.array([3, 4, 5, 3, 4, 3])
+    paths = factor._walks(a, b, 7, 3000, 6, 1.0, 0.5, np.random.default_rng(1))
+    edges = {(int(x), int(y)) for x, y in zip(a, b)} | {(int(y), int(x)) for x, y in zip(a, b)}
+    assert paths.shape == (6 * 3000, 6) and {(int(x), int(y)) for w in paths[:200] for x, y in zip(w, w[1:])} <= edges
+    at = (paths[:, 0] == 3) & (paths[:, 1] == 0)
+    share = [(paths[at, 2] == x).mean() for x in (3, 4, 5)]  # weights 1, 2, 2
+    assert np.allclose(share, [0.2, 0.4, 0.4], atol=0.03)
+    m = np.zeros((3, 2))
+    factor._take(m, np.array([2, 0, 2]), np.ones((3, 2)))
+    assert m.tolist() == [[-1, -1], [0, 0], [-2, -2]]
+
+
+def test_nearest_information_counts_equal_rows(spark):
+    r = random.Random(8)
+    few = [(float(r.randrange(12)), r.choice("xxyz")) for _ in range(150)]
+    psi = lambda n: sum(1 / j for j in range(1, n)) - np.euler_gamma
+    total = 0.0
+    for n, (v, c) in enumerate(few):
+        own = sorted(abs(v - w) for m, (w, d) in enumerate(few) if m != n and d == c)
+        total += psi(3) - psi(len(own) + 1) - psi(sum(abs(v - w) < own[2] or v == w for w, _ in few))
+    frame = spark.createDataFrame(few, "a double, c string")
+    assert metrics.nearest_mutual_information(frame, ["a"], "c").first().mutual_information == pytest.approx(max(0.0, psi(150) + total / 150), abs=1e-9)
+    many = spark.range(210_000).select(F.col("id").cast("double").alias("a"), (F.col("id") < 105_000).cast("string").alias("c"))
+    assert metrics.nearest_mutual_information(many, ["a"], "c").first().mutual_information == pytest.approx(math.log(2), abs=0.01)
