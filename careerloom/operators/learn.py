@@ -178,34 +178,59 @@ def calibrated_out_of_fold(df: DataFrame, make: Callable, key: str, label: str,
     return out
 
 
-def smote(df: DataFrame, features: Sequence[str], label: str, key: str, *, k: int = 3, most: int = 20_000) -> DataFrame:
+#: Rows of a class whose neighbours one task of ``smote`` looks for.
+SMOTE_BLOCK = 4096
+
+
+def smote(df: DataFrame, features: Sequence[str], label: str, key: str, *, k: int = 3) -> DataFrame:
     """The smaller classes filled up to the largest with points between a row and one of its k nearest.
 
-    A class that is filled up is small by definition; its rows are one group, and a
-    class of more than ``most`` rows raises instead of being cut.
+    A task takes the points of SMOTE_BLOCK rows of a class, beside all rows of that class; the
+    draws are those of the whole class, so the points do not depend on the blocks.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row a class
-    top = max(sizes.values())
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().where(F.col(label).isNotNull()).collect()}  # one row a class
+    top = max(sizes.values(), default=0)
     need = {c: top - n for c, n in sizes.items() if 1 < n < top}
-    if any(sizes[c] > most for c in need):
-        raise ValueError("a class to fill up exceeds the bound of one group")
+    blocks = {c: -(-sizes[c] // SMOTE_BLOCK) for c in need}
     schema = ", ".join([f"{f} double" for f in features] + [f"{label} double"])
 
     def make(group, pdf: pd.DataFrame) -> pd.DataFrame:
-        c = group[0]
+        c, block = group
         pdf = pdf.sort_values(key)
         x = pdf[list(features)].to_numpy(float)
-        d = ((x[:, None] - x[None]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
         rng = np.random.Generator(np.random.PCG64(42))
         base = rng.integers(0, len(x), need[c])
-        other = near[base, rng.integers(0, near.shape[1], len(base))]
-        new = x[base] + rng.random((len(base), 1)) * (x[other] - x[base])
+        pick, part = rng.integers(0, min(k, len(x) - 1), len(base)), rng.random((len(base), 1))
+        mine = (base >= block * SMOTE_BLOCK) & (base < (block + 1) * SMOTE_BLOCK)
+        base, pick, part = base[mine], pick[mine], part[mine]
+        drawn, at = np.unique(base, return_inverse=True)
+        near = _nearest(x, drawn, min(k, len(x) - 1))
+        new = x[base] + part * (x[near[at, pick]] - x[base])
         return pd.DataFrame(new, columns=list(features)).assign(**{label: float(c)})
 
-    some = df.where(F.col(label).isin(*need)) if need else df.where(F.lit(False))
-    return df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label)).unionByName(some.groupBy(label).applyInPandas(make, schema))
+    whole = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias(label))
+    if not need:
+        return whole
+    number = F.element_at(F.create_map(*[F.lit(v) for c, n in blocks.items() for v in (c, n)]), F.col(label))
+    some = df.where(F.col(label).isin(*need)).select(key, label, *features).withColumn("_block", F.explode(F.sequence(F.lit(0), number - 1)))
+    return whole.unionByName(some.groupBy(label, "_block").applyInPandas(make, schema))
+
+
+def _nearest(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """For each of ``rows`` of x its k nearest other rows, ties to the smaller position."""
+    out = np.empty((len(rows), k), np.int64)
+    step = max(1, 2_000_000 // max(1, len(x)))
+    for at in range(0, len(rows), step):
+        some = rows[at : at + step]
+        d = np.zeros((len(some), len(x)))
+        for f in range(x.shape[1]):
+            d += (x[some, f][:, None] - x[None, :, f]) ** 2
+        d[np.arange(len(some)), some] = np.inf
+        edge = np.partition(d, k - 1, axis=1)[:, k - 1]
+        for n in range(len(some)):
+            c = np.flatnonzero(~(d[n] > edge[n]))
+            out[at + n] = c[np.argsort(d[n, c], kind="stable")[:k]]
+    return out
 
 
 def opportunities(model, cells: DataFrame, k: int = 3) -> DataFrame:
