@@ -76,6 +76,11 @@ def encoded(categories: Sequence[str], numbers: Sequence[str], *, one_hot: bool)
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=[*names, *numbers], outputCol="features", handleInvalid="keep")])
 
 
+def weighted_cells(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """One row for each combination of ``keys``: the mean of the label and, as ``weight``, its rows."""
+    return df.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def out_of_fold(df: DataFrame, make: Callable, key: str, label: str, folds: int = 5) -> DataFrame:
     """Each row's prediction and probabilities by the model that did not see its fold."""
     out = None

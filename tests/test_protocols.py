@@ -247,3 +247,16 @@ def test_nearest_information_counts_equal_rows(spark):
     assert metrics.nearest_mutual_information(frame, ["a"], "c").first().mutual_information == pytest.approx(max(0.0, psi(150) + total / 150), abs=1e-9)
     many = spark.range(210_000).select(F.col("id").cast("double").alias("a"), (F.col("id") < 105_000).cast("string").alias("c"))
     assert metrics.nearest_mutual_information(many, ["a"], "c").first().mutual_information == pytest.approx(math.log(2), abs=0.01)
+
+
+def test_weighted_cells_grow_the_same_boosted_trees(spark):
+    r = random.Random(6)
+    rows = [(a, b, 10.0 * (a == "x") + 3.0 * (b == "q") + r.random()) for a, b in ((r.choice("wxyz"), r.choice("pq")) for _ in range(400))]
+    df = spark.createDataFrame(rows, "a string, b string, y double")
+    prep = learn.encoded(["a", "b"], [], one_hot=False).fit(df)
+    grid = prep.transform(df.select("a", "b").distinct())
+    one = learn.regressor("gbt", "y", iters=5).fit(prep.transform(df))
+    two = learn.regressor("gbt", "y", iters=5).setWeightCol("weight").fit(prep.transform(learn.weighted_cells(df, ["a", "b"], "y")))
+    read = lambda m: {(x.a, x.b): x.prediction for x in m.transform(grid).collect()}
+    want, got = read(one), read(two)
+    assert len(want) == 8 and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
