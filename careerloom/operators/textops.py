@@ -9,7 +9,6 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from careerloom.functions.columns import canonical_key, cosine, overlap, singular, token_set, tokens
@@ -162,42 +161,103 @@ def _dense(i: pa.ListArray, w: pa.ListArray, dims: int) -> np.ndarray:
     return np.bincount(at, weights=w.flatten().to_numpy(), minlength=len(i) * dims).reshape(len(i), dims)
 
 
-def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int = 1024, epochs: int = 5, alpha: float = 1e-5, most: int = 20_000) -> DataFrame:
-    """One-versus-rest linear hinge with balanced weights: (label, weights) over hashed terms.
+#: Documents of one shard of a fit; a shard's weighted rows are one row for a worker.
+SHARD_DOCS = 4096
 
-    One task fits one label; its rows are at most ``most`` / 2 of the label's positives and as
-    many of its negatives, all by hash order.  Negatives come from one pool of ``most``
-    documents, so no document stands beside every label, and only drawn documents' features move.
+
+def ovr_linear(features: DataFrame, labels: DataFrame, doc: str, *, dims: int = 1024, epochs: int = 5, alpha: float = 1e-5, n_docs: int | None = None) -> DataFrame:
+    """One-versus-rest linear hinge with balanced weights: (label, bias, w) over hashed terms.
+
+    Every document of ``features`` (``n_docs``, counted if not given) is taken for or against every label.  Documents are
+    dealt by hash into shards; in each epoch a shard steps through all its documents from the common weights, and
+    the shards' weights are averaged by their documents, so no task reads all documents.  One shard is plain
+    stochastic descent.
     """
     rows = _rows(features, doc, dims)
-    order = F.xxhash64(doc)
-    known = labels.select(doc, "label").distinct()
-    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-    # a label's share by hash first, the exact cut on what is left: no task ranks all rows of a label
-    share = F.pmod(order, F.lit(1 << 30)) * F.col("_n") < F.lit((most + 64) * (1 << 30))
-    positives = known.join(beside(counts), "label").where(share).withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(order, doc))).where(F.col("_r") <= most // 2).select(doc, "label", F.lit(1).alias("y"))
-    pool = materialised(rows.select(doc).orderBy(order, doc).limit(most), "pool")
-    others = pool.crossJoin(beside(counts.select("label"))).join(known, [doc, "label"], "left_anti")
-    negatives = others.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy(order, doc))).where(F.col("_r") <= most // 2).select(doc, "label", F.lit(0).alias("y"))
-    drawn = positives.unionByName(negatives).join(rows, doc)
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, weight = pdf["i"].to_numpy(), pdf["w"].to_numpy()
-        y = pdf["y"].to_numpy() * 2.0 - 1
-        share = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-        w, b, rng, t = np.zeros(dims), 0.0, np.random.Generator(np.random.PCG64(42)), 0
-        for _ in range(epochs):
-            for n in rng.permutation(len(y)):
-                t += 1
-                eta = 1 / (1 + alpha * 1e3 * t) * 0.1
-                w *= 1 - eta * alpha
-                x = np.bincount(at[n], weights=weight[n], minlength=dims)
-                if y[n] * (x @ w + b) < 1:
-                    w += eta * share[n] * y[n] * x
-                    b += eta * share[n] * y[n]
-        return pd.DataFrame({"label": [key[0]], "bias": [b], "w": [w.tolist()]})
-
-    return drawn.groupBy("label").applyInPandas(fit, "label string, bias double, w array<double>")
+    spark = rows.sparkSession
+    known = labels.select(doc, F.col("label").cast("string").alias("label")).where(F.col("label").isNotNull()).distinct()
+    names = [r["label"] for r in known.select("label").distinct().orderBy("label").collect()]
+    packed = _shards(rows, known.join(spark.createDataFrame(list(enumerate(names)), "y int, label string"), "label"), doc, dims, rows.count() if n_docs is None else n_docs)
+    total = packed.agg(F.sum("n")).first()[0] or 0
+    have = dict(packed.select(F.explode("label").alias("y")).groupBy("y").count().collect())
+    positives = np.array([have.get(y, 0) for y in range(len(names))], float)
+    share = total / (2 * np.maximum(1, positives)), total / (2 * np.maximum(1, total - positives))
+    bias, w = np.zeros(len(names)), np.zeros((dims, len(names)))
+    for first in range(0, len(names), FEW_LABELS):
+        block = slice(first, min(first + FEW_LABELS, len(names)))
+        for epoch in range(epochs if total else 0):
+            steps = _steps(epoch, alpha, first, share[0][block], share[1][block], bias[block].copy(), w[:, block].copy())
+            parts = packed.mapInArrow(steps, "y int, shard int, n bigint, bias double, w binary")
+            for y, b, own in parts.groupBy("y").applyInPandas(_averaged, "y int, bias double, w binary").collect():  # FEW_LABELS rows at most
+                bias[y], w[:, y] = b, np.frombuffer(bytes(own))
+    fitted = {"label": pa.array(names, pa.string()), "bias": pa.array(bias), "w": pa.array(w.T.tolist(), pa.list_(pa.float64()))}
+    return spark.createDataFrame(pa.table(fitted))
+
+
+def _shards(rows: DataFrame, tags: DataFrame, doc: str, dims: int, n_docs: int) -> DataFrame:
+    """A row for each shard: its documents in hash order, their columns and weights end to end, and the places and ids of their labels."""
+    shard = F.pmod(F.xxhash64(doc, F.lit("shard")), F.lit(max(1, -(-n_docs // SHARD_DOCS)))).cast("int").alias("shard")
+
+    def pack(key, own: pa.Table, named: pa.Table) -> pa.Table:
+        own = own.sort_by([("_h", "ascending"), ("_of", "ascending")]).combine_chunks()
+        i, w = own.column("i").combine_chunks(), own.column("w").combine_chunks()
+        n = own.num_rows
+        cell = np.repeat(np.arange(n), pc.list_value_length(i).to_numpy()) * dims + i.flatten().to_numpy()
+        cell, at = np.unique(cell, return_inverse=True)  # weights of one column add up
+        place = pc.index_in(named.column("_doc"), value_set=own.column("_of")).to_numpy()
+        hit = ~np.isnan(place.astype(float))
+        out = {
+            "shard": [key[0].as_py()], "n": [n], "size": [np.bincount(cell // dims, minlength=n)], "i": [cell % dims], "w": [np.bincount(at, weights=w.flatten().to_numpy(), minlength=len(cell))],
+            "place": [place[hit].astype(np.int64)], "label": [named.column("y").to_numpy()[hit]],
+        }
+        return pa.table(out, schema=kind).slice(0, min(1, n))
+
+    kind = pa.schema([("shard", pa.int32()), ("n", pa.int64()), *[(c, pa.list_(pa.int32())) for c in ("size", "i")], ("w", pa.list_(pa.float64())), *[(c, pa.list_(pa.int32())) for c in ("place", "label")]])
+    left, right = rows.select(shard, F.xxhash64(doc).alias("_h"), F.col(doc).alias("_of"), "i", "w"), tags.select(shard, F.col(doc).alias("_doc"), "y")
+    schema = "shard int, n bigint, size array<int>, i array<int>, w array<double>, place array<int>, label array<int>"
+    return materialised(left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(pack, schema), "shards")
+
+
+def _steps(epoch: int, alpha: float, first: int, up: np.ndarray, down: np.ndarray, bias: np.ndarray, w: np.ndarray):
+    """One epoch of hinge steps of every shard from common weights, for all labels at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                size, i, v, place, label = (b.column(c)[r].values.to_numpy() for c in ("size", "i", "w", "place", "label"))
+                n, ends = len(size), np.append(0, np.cumsum(size)).tolist()
+                mine = (label >= first) & (label < first + len(bias))
+                y = np.full((n, len(bias)), -1.0)
+                y[place[mine], label[mine] - first] = 1
+                pull = y * np.where(y > 0, up, down)
+                own, own_bias, scale, t = w.copy(), bias.copy(), 1.0, epoch * n
+                rng = np.random.Generator(np.random.PCG64(42))
+                for _ in range(epoch):
+                    rng.permutation(n)
+                for d in rng.permutation(n).tolist():
+                    t += 1
+                    eta = 1 / (1 + alpha * 1e3 * t) * 0.1
+                    scale *= 1 - eta * alpha
+                    at, x = i[ends[d] : ends[d + 1]], v[ends[d] : ends[d + 1]]
+                    some = own[at]
+                    miss = y[d] * (x @ some * scale + own_bias) < 1
+                    if miss.any():
+                        g = eta * pull[d] * miss
+                        own[at] = some + x[:, None] * (g / scale)
+                        own_bias += g
+                labels = np.arange(first, first + len(bias))
+                columns = [pa.array(labels, pa.int32()), pa.array(np.full(len(bias), b.column("shard")[r].as_py()), pa.int32()), pa.array(np.full(len(bias), n), pa.int64()), pa.array(own_bias), pa.array([x.tobytes() for x in (own * scale).T], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["y", "shard", "n", "bias", "w"])
+
+    return run
+
+
+def _averaged(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """A label's weights: the mean of its shards', in their order, by their documents."""
+    total, bias, n = 0.0, 0.0, pdf["n"].sum()
+    for m, b, w in pdf.sort_values("shard")[["n", "bias", "w"]].itertuples(index=False):
+        total, bias = total + np.frombuffer(w) * (m / n), bias + b * (m / n)
+    return pd.DataFrame({"y": [key[0]], "bias": [bias], "w": [total.tobytes()]})
 
 
 def linear_scores(features: DataFrame, model: DataFrame, doc: str, dims: int = 1024) -> DataFrame:

@@ -281,3 +281,38 @@ def test_weighted_cells_grow_the_same_boosted_trees(spark):
     read = lambda m: {(x.a, x.b): x.prediction for x in m.transform(grid).collect()}
     want, got = read(one), read(two)
     assert len(want) == 8 and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+
+
+def test_linear_models_are_fitted_on_every_document(spark):
+    n = 24_000
+    docs = spark.range(n).select(F.col("id").alias("d"), F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("label"), F.xxhash64("id").alias("h"))
+    last = {x.label: x.d for x in docs.groupBy("label").agg(F.max_by("d", "h").alias("d")).collect()}  # what a draw by hash would take last
+    column = F.when(F.col("d") == last["even"], 2).when(F.col("d") == last["odd"], 3).otherwise(F.col("d") % 2).cast("int")
+    rows = docs.select("d", F.array(column).alias("i"), F.array(F.lit(1.0)).alias("w"))
+    labels = docs.select("d", "label").unionByName(spark.createDataFrame([(0, "both"), (1, "both"), (n + 5, "unseen"), (3, None)], "d long, label string"))
+    got = {x.label: x for x in textops.ovr_linear(rows, labels, "d", dims=8).collect()}
+    assert set(got) == {"even", "odd", "both", "unseen"}
+    assert got["even"].w[0] > 0 > got["even"].w[1] and got["odd"].w[1] > 0 > got["odd"].w[0]
+    assert got["even"].w[2] > 0 > got["odd"].w[2] and got["odd"].w[3] > 0 > got["even"].w[3]
+    assert not any(got["unseen"].w[4:]) and got["unseen"].bias < 0
+
+
+def test_one_shard_steps_as_plain_descent(spark):
+    r = random.Random(2)
+    cells = [(d, [r.randrange(6), r.randrange(6)], [r.random(), r.random()], r.choice("abc")) for d in range(50)]
+    df = spark.createDataFrame(cells, "d long, i array<int>, w array<double>, label string")
+    got = {x.label: x for x in textops.ovr_linear(df.drop("label"), df, "d", dims=6).collect()}
+    order = [x.d for x in df.orderBy(F.xxhash64("d"), "d").collect()]
+    for c in "abc":
+        y = np.array([1.0 if cells[d][3] == c else -1.0 for d in order])
+        share = np.where(y > 0, 50 / (2 * (y > 0).sum()), 50 / (2 * (y < 0).sum()))
+        w, b, t, rng = np.zeros(6), 0.0, 0, np.random.Generator(np.random.PCG64(42))
+        for _ in range(5):
+            for n in rng.permutation(50):
+                t += 1
+                eta = 0.1 / (1 + 0.01 * t)
+                w *= 1 - eta * 1e-5
+                x = np.bincount(cells[order[n]][1], weights=cells[order[n]][2], minlength=6)
+                if y[n] * (x @ w + b) < 1:
+                    w, b = w + eta * share[n] * y[n] * x, b + eta * share[n] * y[n]
+        assert np.allclose(got[c].w, w) and got[c].bias == pytest.approx(b)
