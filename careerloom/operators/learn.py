@@ -6,16 +6,17 @@ docstring says so.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,6 +82,135 @@ def weighted_cells(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     return df.where(F.col(label).isNotNull()).groupBy(*keys).agg(F.avg(label).alias(label), F.count(F.lit(1)).cast("double").alias("weight"))
 
 
+#: Cells of categories whose trees are grown from sums; more of them are left to pyspark.ml, on rows.
+FEW_CELLS = 4096
+
+
+class Grid:
+    """The cells of a few categories, seen or wanted: their codes, rows and sums; ``of`` gives None beyond FEW_CELLS.
+
+    A row's features are its cell, so sums by cell grow the trees of the rows.
+    """
+
+    def __init__(self, keys: Sequence[str], kinds: str, cells: dict[tuple, tuple[float, float]], wanted: Sequence[tuple]):
+        self.keys, self.kinds = list(keys), kinds
+        self.cells = list(dict.fromkeys([*cells, *wanted]))
+        self.n = np.array([cells.get(c, (0, 0))[0] for c in self.cells], float)
+        self.s = self.n * np.array([cells.get(c, (0, 0))[1] for c in self.cells], float)
+        names = [sorted({c[f] for c in cells if c[f] is not None}, key=str) for f in range(len(keys))]
+        self.arity = [len(v) + 1 for v in names]  # the last code is of null and of values not seen
+        codes = [{v: i for i, v in enumerate(values)} for values in names]
+        self.x = np.array([[codes[f].get(v, len(codes[f])) for f, v in enumerate(c)] for c in self.cells], np.int64).reshape(-1, len(keys))
+
+    @classmethod
+    def of(cls, cells: DataFrame, wanted: DataFrame, keys: Sequence[str], label: str):
+        """From ``weighted_cells`` and the distinct cells to predict."""
+        own, others = cells.select(*keys, "weight", label).limit(FEW_CELLS + 1).collect(), wanted.select(*keys).limit(FEW_CELLS + 1).collect()
+        if not own or len(own) > FEW_CELLS or len(others) > FEW_CELLS:
+            return None
+        kinds = ", ".join(f"{k} {kind}" for k, kind in cells.select(*keys).dtypes)
+        return cls(keys, kinds, {tuple(r)[:-2]: tuple(r)[-2:] for r in sorted(own, key=str)}, sorted(map(tuple, others), key=str))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The cells with their number, ``_cell``."""
+        return spark.createDataFrame([(*c, i) for i, c in enumerate(self.cells)], f"{self.kinds}, _cell int")
+
+
+def _tree(x: np.ndarray, arity: Sequence[int], n: np.ndarray, s: np.ndarray, *, depth: int, leaf: float, some: int = 0, rng=None) -> np.ndarray:
+    """Predictions of every cell by one regression tree of cells with n rows and label sums s.
+
+    As in pyspark.ml a node's categories are ordered by their means and cut once; categories without rows go right.
+    Each node tries ``some`` features drawn anew, or all.
+    """
+    out, nodes = np.empty(len(x)), [(np.arange(len(x)), 0)]
+    while nodes:
+        at, level = nodes.pop()
+        own, rows, sums = x[at], n[at], s[at]
+        w, t = rows.sum(), sums.sum()
+        out[at] = t / w
+        if level == depth:
+            continue
+        top, left = t * t / w, None
+        for f in np.sort(rng.permutation(x.shape[1])[:some]) if some else range(x.shape[1]):
+            wf, sf = np.bincount(own[:, f], rows, arity[f]), np.bincount(own[:, f], sums, arity[f])
+            have = np.flatnonzero(wf)
+            have = have[np.argsort(sf[have] / wf[have], kind="stable")]
+            wl, sl = np.cumsum(wf[have])[:-1], np.cumsum(sf[have])[:-1]
+            can = np.flatnonzero((wl >= leaf) & (w - wl >= leaf))
+            if len(can):
+                gain = sl[can] ** 2 / wl[can] + (t - sl[can]) ** 2 / (w - wl[can])
+                first = int(np.argmax(gain >= gain.max() * (1 - 1e-12)))
+                if gain[first] > top * (1 + 1e-12):
+                    top, left = gain[first], np.isin(own[:, f], have[: can[first] + 1])
+        if left is not None:
+            nodes += [(at[~left], level + 1), (at[left], level + 1)]
+    return out
+
+
+def boosted_cells(spark: SparkSession, grid: Grid, *, iters: int, depth: int = 4, step: float = 0.1) -> DataFrame:
+    """(keys, prediction) of the cells by the trees of ``regressor("gbt")``: squared loss, no draws."""
+    own = dict(depth=depth, leaf=1)
+    value = _tree(grid.x, grid.arity, grid.n, grid.s, **own)
+    for _ in range(1, iters):
+        value = value + step * _tree(grid.x, grid.arity, grid.n, 2 * (grid.s - grid.n * value), **own)
+    return spark.createDataFrame([(*c, float(v)) for c, v in zip(grid.cells, value)], f"{grid.kinds}, prediction double")
+
+
+def _poisson_table() -> np.ndarray:
+    """The Poisson(1) count of each 16-bit draw."""
+    steps = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 9)]))
+    return np.searchsorted(steps, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+
+
+def bootstrap_counts(h: np.ndarray, trees: int) -> np.ndarray:
+    """(rows, trees): how often each tree draws each row, from 64 bits of the row's key; four trees share a mixed word."""
+    table, out = _poisson_table(), np.empty((len(h), -(-trees // 4) * 4), np.uint8)
+    with np.errstate(over="ignore"):
+        for g in range(out.shape[1] // 4):
+            z = h.view(np.uint64) + np.uint64((g + 1) * 0x9E3779B97F4A7C15 % 2**64)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out[:, 4 * g : 4 * g + 4] = table[(z ^ (z >> np.uint64(31))).astype("<u8").view("<u2").reshape(-1, 4)]
+    return out[:, :trees]
+
+
+def forest_cells(rows: DataFrame, grid: Grid, key: Sequence[str], label: str, *, trees: int, depth: int = 10, leaf: int = 20) -> DataFrame:
+    """(keys, prediction) of the cells by a forest like ``regressor("rf")``'s: Poisson draws of every row for every tree, a third of the features a node.
+
+    One pass over the rows sums what each tree draws of each cell; each tree is grown from its sums in its own small group.
+    """
+    spark, cells, whole = rows.sparkSession, grid.frame(rows.sparkSession), len(grid.cells)
+    same = F.lit(True)
+    for k in grid.keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    numbered = F.broadcast(cells.select(*[F.col(k).alias(f"_{k}") for k in grid.keys], "_cell"))
+    drawn = rows.where(F.col(label).isNotNull()).join(numbered, same).select(F.xxhash64(*key, F.lit("forest")).alias("h"), "_cell", F.col(label).cast("double").alias("y"))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s = np.zeros((whole, trees)), np.zeros((whole, trees))
+        for b in batches:
+            for start in range(0, b.num_rows, 10_000):
+                h, c, y = (b.column(j)[start : start + 10_000].to_numpy() for j in range(3))
+                order = np.argsort(c, kind="stable")
+                found, first = np.unique(c[order], return_index=True)
+                count = bootstrap_counts(h[order], trees).astype(float)
+                n[found] += np.add.reduceat(count, first)
+                count *= y[order, None]
+                s[found] += np.add.reduceat(count, first)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(trees), pa.int32()), *[pa.array([v.tobytes() for v in m.T], pa.binary()) for m in (n, s)]], names=["tree", "n", "s"])
+
+    x, arity, few = grid.x, grid.arity, -(-len(grid.keys) // 3)
+
+    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, s = (sum(np.frombuffer(v) for v in pdf[c]) for c in ("n", "s"))
+        value = _tree(x, arity, n, s, depth=depth, leaf=leaf, some=few, rng=np.random.Generator(np.random.PCG64([42, key[0]]))) if n.any() else np.full(whole, np.nan)
+        return pd.DataFrame({"_cell": np.arange(whole, dtype=np.int32), "prediction": value})
+
+    grown = drawn.mapInArrow(sums, "tree int, n binary, s binary").groupBy("tree").applyInPandas(grow, "_cell int, prediction double")
+    mean = grown.where(~F.isnan("prediction")).groupBy("_cell").agg(F.avg("prediction").alias("prediction"))
+    return mean.join(F.broadcast(cells), "_cell").select(*grid.keys, "prediction")
+
+
 def out_of_fold(df: DataFrame, make: Callable, key: str, label: str, folds: int = 5) -> DataFrame:
     """Each row's prediction and probabilities by the model that did not see its fold."""
     out = None

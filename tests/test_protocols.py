@@ -316,3 +316,32 @@ def test_one_shard_steps_as_plain_descent(spark):
                 if y[n] * (x @ w + b) < 1:
                     w, b = w + eta * share[n] * y[n] * x, b + eta * share[n] * y[n]
         assert np.allclose(got[c].w, w) and got[c].bias == pytest.approx(b)
+
+
+def test_trees_of_cells_equal_those_of_rows(spark):
+    r = random.Random(12)
+    rows = [(i, a, b, 10.0 * (a in ("x", "z")) + 3.0 * (b == "q") * (a == "w") + r.random()) for i, a, b in ((i, r.choice(["w", "x", "y", "z", None]), r.choice("pqr")) for i in range(600))]
+    df = spark.createDataFrame(rows, "k long, a string, b string, y double")
+    wanted = df.select("a", "b").distinct().unionByName(spark.createDataFrame([("new", "q")], "a string, b string"))
+    grid = learn.Grid.of(learn.weighted_cells(df, ["a", "b"], "y"), wanted, ["a", "b"], "y")
+    prep = learn.encoded(["a", "b"], [], one_hot=False).fit(df)
+    read = lambda f: {(x.a, x.b): x.prediction for x in f.collect()}
+    want, got = read(learn.regressor("gbt", "y", iters=12).fit(prep.transform(df)).transform(prep.transform(wanted))), read(learn.boosted_cells(spark, grid, iters=12))
+    assert set(got) == set(want) and len(got) == 16 and all(got[k] == pytest.approx(v, abs=1e-6) for k, v in want.items())
+    forest = read(learn.forest_cells(df, grid, ["k"], "y", trees=40))
+    assert forest == pytest.approx(read(learn.forest_cells(df.repartition(7), grid, ["k"], "y", trees=40)), abs=1e-9) and set(forest) == set(want)
+    rf = read(learn.regressor("rf", "y", trees=40).fit(prep.transform(df)).transform(prep.transform(wanted)))
+    assert all(forest[k] == pytest.approx(v, abs=1.5) for k, v in rf.items() if k[0] != "new")
+    draws = learn.bootstrap_counts(np.arange(40_000) * 7919, 30)
+    assert draws.mean() == pytest.approx(1, abs=0.01) and draws.var() == pytest.approx(1, abs=0.02)
+    assert np.abs(np.corrcoef(draws.T) - np.eye(30)).max() < 0.03
+
+
+def test_salary_trees_take_sums_by_cell(spark, sf_dir, monkeypatch):
+    from careerloom.plans import model_queries
+
+    whole = model_queries.q_salary_models(spark, sf_dir).first()
+    assert whole.model in ("linear", "rf", "gbt") and math.isfinite(whole.mae)
+    monkeypatch.setattr(learn, "RandomForestRegressor", None)
+    monkeypatch.setattr(learn, "GBTRegressor", None)
+    assert model_queries.q_salary_models(spark, sf_dir).first().model == whole.model
